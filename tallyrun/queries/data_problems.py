@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrun.functions.ids import same_id
+from tallyrun.functions.ids import same_id, strip, text_or_null
 from tallyrun.operators.current import current_rows
 from tallyrun.operators.intervals import merged_periods, overlaps_and_gaps
+from tallyrun.operators.reconcile import Pair, differences
 from tallyrun.operators.orphans import Reference, orphan_references
 from tallyrun.sources.tables import table
+from tallyrun.streaming.feature_table import EventSource, build_feature_table
 
 #: The transfers' club that stands for "Without Club".
 NO_CLUB = "515"
@@ -17,6 +19,52 @@ NO_CLUB = "515"
 OPEN_END = "2025-12-31"
 
 
+MEASURES = ("goals", "yellow_cards", "minutes_played")
+#: Kind under which an appearance counts; event types are told apart by a prefix.
+APPEARANCE = "appearance"
+
+
+def player_event_sources() -> list[EventSource]:
+    kind = F.lower(strip("type"))
+    return [
+        EventSource("game_events", ("game_event_id", "date", "game_id", "minute", "type", "club_id", "player_id"), same_id("player_id"), text_or_null("game_event_id"), F.concat(F.lit("event:"), F.coalesce(kind, F.lit(""))), F.col("date"), {}),
+        EventSource("appearances", ("appearance_id", "game_id", "player_id", "date", *MEASURES), same_id("player_id"), text_or_null("appearance_id"), F.lit(APPEARANCE), F.col("date"), {m: F.col(m) for m in MEASURES}),
+    ]
+
+
+def player_features(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per player: totals and a map from event type to its count and latest date."""
+    rows = build_feature_table(spark, folder, player_event_sources(), MEASURES)
+    seen = F.col("kinds")[APPEARANCE]
+    events = F.transform_keys(F.map_filter("kinds", lambda k, _: k != APPEARANCE), lambda k, _: F.substring(k, 7, 10_000))
+    totals = [F.coalesce(seen[m], F.lit(0)).cast("long").alias(m) for m in MEASURES]
+    return rows.select(F.col("entity").alias("player_id"), F.coalesce(seen["n"], F.lit(0)).cast("long").alias("appearances"), seen["latest"].alias("latest_appearance"), *totals, events.alias("events"))
+
+
+def p2_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The feature rows with the map written as texts in order of the type, which any engine can compare."""
+    entries = F.array_sort(F.map_entries("events"))
+    count = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"]["n"].cast("string"))), "; ")
+    latest = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"]["latest"].cast("string"), F.lit("none")))), "; ")
+    rows = player_features(spark, folder)
+    n_events = F.aggregate(F.map_values("events"), F.lit(0).cast("long"), lambda a, v: a + v["n"])
+    return rows.select("player_id", "appearances", F.col("latest_appearance").cast("string").alias("latest_appearance"), *MEASURES, n_events.alias("event_total"), count.alias("event_counts"), latest.alias("event_latest"))
+
+
+def _pairs(spark: SparkSession, folder: str) -> list[Pair]:
+    pairs = []
+    for name, key, version in (("players", "player_id", "loaded_at"), ("clubs", "club_id", "loaded_at"), ("countries", "country_id", None)):
+        first, second = table(spark, folder, name), table(spark, folder, f"{name}_copy")
+        columns = [c for c in first.columns if c in second.columns and c not in ("loaded_at", "deleted_at")]
+        pairs.append(Pair(name, first, second, same_id(key), key, columns, version))
+    return pairs
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids on one side only and fields that differ between the two copies."""
+    return differences(_pairs(spark, folder)).select("table_name", "record_id", "field_name")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Orphan references per field and month."""
     month = lambda c: F.date_format(c, "yyyy-MM")
@@ -64,6 +112,27 @@ def _sql_current(name: str, key: str, columns: str) -> str:
     return f"(select {columns}, {sql_id(key)} as id from {name} where {sql_id(key)} is not null qualify row_number() over (partition by {sql_id(key)} order by loaded_at desc nulls last) = 1)"
 
 
+def _sql_side(name: str, key: str, columns: list[str], dated: bool) -> str:
+    fields = ", ".join(f"nullif({_STRIP.replace('{c}', f'cast({c} as varchar)')}, '') as {c}" for c in columns)
+    latest = "loaded_at desc nulls last" if dated else "country_name"
+    return f"(select {sql_id(key)} as id, {fields} from {name} where {sql_id(key)} is not null qualify row_number() over (partition by {sql_id(key)} order by {latest}) = 1)"
+
+
+def _p3_sql() -> str:
+    parts = []
+    for name, key, columns in (
+        ("players", "player_id", "name last_season player_code country_of_birth city_of_birth country_of_citizenship date_of_birth sub_position position foot height_in_cm agent_name".split()),
+        ("clubs", "club_id", "club_code name domestic_competition_id country_name stadium_name stadium_seats".split()),
+        ("countries", "country_id", "country_name country_code confederation capital_city continent".split()),
+    ):
+        a, b = (_sql_side(n, key, columns, name != "countries") for n in (name, f"{name}_copy"))
+        for c in columns:
+            parts.append(f"select '{name}' as table_name, a.id as record_id, '{c}' as field_name from {a} a join {b} b using (id) where a.{c} is distinct from b.{c}")
+        parts.append(f"select '{name}', id, '_only_in_first' from {a} a anti join {b} b using (id)")
+        parts.append(f"select '{name}', id, '_only_in_second' from {b} b anti join {a} a using (id)")
+    return " union all ".join(parts)
+
+
 P4_SQL = f"""
 with p as {_sql_current("players", "player_id", "deleted_at")}, c as {_sql_current("clubs", "club_id", "deleted_at, loaded_at, domestic_competition_id")},
 r as (
@@ -87,5 +156,16 @@ select p as player_id, 'period' as kind, strftime(a, '%Y-%m-%d') as start_date,
 union all select p, 'gap', strftime(b, '%Y-%m-%d'), strftime(nxt, '%Y-%m-%d') from l where nxt is not null
 """
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found}
-SQL = {"p4_found": P4_SQL, "p5_found": P5_SQL}
+P2_SQL = f"""
+with e as (select distinct on (game_event_id) {sql_id("player_id")} as p, coalesce(lower({_STRIP.replace("{c}", "type")}), '') as kind, date from game_events where {sql_id("player_id")} is not null),
+k as (select p, kind, count(*) as n, max(date) as latest from e group by p, kind),
+t as (select p, sum(n)::bigint as event_total, string_agg(kind || '=' || n, '; ' order by kind) as event_counts, string_agg(kind || '=' || coalesce(strftime(latest, '%Y-%m-%d'), 'none'), '; ' order by kind) as event_latest from k group by p),
+d as (select distinct on (appearance_id) {sql_id("player_id")} as p, date, goals, yellow_cards, minutes_played from appearances where {sql_id("player_id")} is not null),
+a as (select p, count(*) as appearances, max(date) as latest_appearance, coalesce(sum(goals), 0)::bigint as goals, coalesce(sum(yellow_cards), 0)::bigint as yellow_cards, coalesce(sum(minutes_played), 0)::bigint as minutes_played from d group by p)
+select coalesce(t.p, a.p) as player_id, coalesce(appearances, 0) as appearances, strftime(latest_appearance, '%Y-%m-%d') as latest_appearance, coalesce(goals, 0) as goals, coalesce(yellow_cards, 0) as yellow_cards,
+  coalesce(minutes_played, 0) as minutes_played, coalesce(event_total, 0) as event_total, coalesce(event_counts, '') as event_counts, coalesce(event_latest, '') as event_latest
+from t full join a on t.p = a.p
+"""
+
+QUERIES = {"p2_features": p2_features, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+SQL = {"p2_features": P2_SQL, "p3_found": _p3_sql(), "p4_found": P4_SQL, "p5_found": P5_SQL}
