@@ -33,7 +33,7 @@ BLOCK = 5_000
 #: Share of an item's words that makes a case, and how much less retrieval asks for.
 SHARE, SLACK = 0.5, 0.8
 #: Words of a stretch, words that may differ between two of its shared pairs, and the weight it must share.
-MIN_STRETCH, MAX_GAP, MIN_WEIGHT = 6, 3, 0.6
+MIN_STRETCH, MAX_GAP, MIN_WEIGHT = 6, 3, 0.75
 #: BM25's parameters and the length of a block of postings.
 K1, B, POSTINGS_BLOCK = 1.2, 0.75, 32
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyrun.functions.ids import same_id, strip
 from tallyrun.llm.canonical_list import MISS, map_to_list
+from tallyrun.llm.eval_leak import leaked_items
+from tallyrun.llm.mixing import Mixture
 from tallyrun.operators.current import current_rows
 from tallyrun.sources.tables import table
 
@@ -41,5 +43,34 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return missed.groupBy("table_name", "field_name", "value").agg(F.count("*").alias("rows"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched}
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that carry a test item wholly or in large part."""
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Report per test item that leaked: documents that carry it, the largest share, and those with its whole answer."""
+    whole = F.count_if(F.col("answer_overlap") >= 1).alias("with_answer")
+    return _leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("question_overlap").alias("largest_share"), whole)
+
+
+def _mixture(spark: SparkSession, folder: str) -> Mixture:
+    return Mixture(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixed corpus in random order."""
+    return _mixture(spark, folder).mixed()
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and reached shares per source."""
+    return _mixture(spark, folder).report()
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares}
 SQL: dict[str, str] = {}
