@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrun.functions.ids import same_id, strip
+from tallyrun.llm.abuse import score_documents
 from tallyrun.llm.canonical_list import MISS, map_to_list
 from tallyrun.llm.eval_leak import leaked_items
 from tallyrun.llm.mixing import Mixture
@@ -72,5 +73,23 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).report()
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's score for abusive content, with the segment that it rests on."""
+    return score_documents(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "review_samples"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with abusive content."""
+    return p8_scores(spark, folder).filter("flagged").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, flagged documents and rate per source (names equal without outer blanks and letter case)."""
+    scores = p8_scores(spark, folder).select(F.lower(strip("source")).alias("source"), "score", "flagged")
+    rates = scores.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("flagged").alias("flagged"), F.max("score").alias("largest_score"))
+    return rates.withColumn("rate", F.col("flagged") / F.col("documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares,
+           "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}
