@@ -231,8 +231,8 @@ class Analytics:
         The seeds' stints meet the other stints of their clubs only; pairs outside the seed set are never formed.
         """
         t = self.specific_transfer().filter("to_club_id IS NOT NULL")
-        subject = t.select("seed_id", F.col("to_club_id").alias("club_id"), F.col("player_id").alias("own_id"), F.col("player_name").alias("own_name"), F.col("transfer_date").alias("a"), F.col("next_date").alias("b"), "seed_other_player_name", "seed_player_name_1", "seed_player_name_2")
-        others = stints(self.catalog.transfers).select("club_id", "player_id", "player_name", F.col("start").alias("c"), F.col("stop").alias("d"))
+        subject = t.select("seed_id", F.col("to_club_id").alias("club_id"), F.col("player_id").alias("own_id"), F.coalesce("player_name", F.lit("")).alias("own_name"), F.col("transfer_date").alias("a"), F.col("next_date").alias("b"), "seed_other_player_name", "seed_player_name_1", "seed_player_name_2")
+        others = stints(self.catalog.transfers).select("club_id", "player_id", F.coalesce("player_name", F.lit("")).alias("player_name"), F.col("start").alias("c"), F.col("stop").alias("d"))
         rows = subject.join(others, "club_id")
         away = F.col("player_id") != F.col("own_id")
         meets = away & overlaps(F.col("a"), F.col("b"), F.col("c"), F.col("d"))
