@@ -202,4 +202,4 @@ def hashed_int(seed: str, modulus: int, *parts: Column) -> Column:
 def signed_step(seed: str, most: int, *parts: Column) -> Column:
     """A number in ``-most .. -1`` or ``1 .. most``."""
     k = hashed_int(seed, 2 * most, *parts)
-    return F.when(k < most, k - most).otherwise(k - most + 1)
+    return k - most + F.floor(k / most).cast("int")
