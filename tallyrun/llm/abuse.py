@@ -47,7 +47,7 @@ STRONG = 7.0
 LATTICE = 0.5
 
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"})
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]{1,2}){2,}[^\W\d_](?![^\W_])")
+SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([ .\-_*]{1,2})(?:[^\W\d_]\1)+[^\W\d_](?![^\W_])")
 TOKEN = re.compile(r"[.!?]+(?=[\s\"'”’)]|$)|\n|[^\W_]+(?:[*#@$!][*#@$!\w]*[^\W_])?|[$@][^\W_]+[^\s.,!?;:]*")
 STARRED = re.compile(r"^[a-z]+[*#]{2,}[a-z]*$")
 DRAWN = re.compile(r"(.)\1{2,}")
@@ -68,7 +68,7 @@ class Speller:
                         self.swapped.setdefault(s, w)
         self.glued = re.compile("|".join(sorted((w for w in strong if len(w) >= 7), key=lambda w: (-len(w), w))) or "(?!)")
         self.ends: dict[tuple[str, str, int], str] = {}
-        for w in sorted(self.known):
+        for w in [*sorted(strong), *sorted(self.known)]:
             self.ends.setdefault((w[0], w[-1], len(w)), w)
 
     def word(self, w: str) -> str:
@@ -89,9 +89,14 @@ class Speller:
             return m.group()
         return self.swapped.get(w, w)
 
+    def _joined(self, m: re.Match[str]) -> str:
+        """Spaced-out letters as one word; an article before it stays apart."""
+        w = re.sub(r"[ .\-_*]", "", m.group())
+        return f"{w[0]} {w[1:]}" if w not in self.known and w[0] in "ai" and self.word(w[1:]) in self.known else w
+
     def tokens(self, text: str) -> list[str]:
         """The text's words, disguises undone, with ``END`` for sentence ends."""
-        t = SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), plain(text))
+        t = SPACED.sub(self._joined, plain(text))
         return [END if not (w[0].isalnum() or w[0] in "$@") else self.word(w) for w in TOKEN.findall(t)]
 
 
@@ -226,11 +231,12 @@ def fit(samples: Sequence[tuple[str, int]], corpus: dict[tuple[str, ...], int],
 def extreme_value_law(shares: dict[float, float]) -> tuple[float, float]:
     """Lambda and K of Karlin and Altschul for independent tokens with the given scores and shares (which add up to 1).
 
-    Scores are taken on a lattice of ``LATTICE``; both constants are for scores in their own unit.
+    Scores are taken on a lattice of multiples of ``LATTICE``; both constants are for scores in their own unit.
     """
-    steps = {round(s / LATTICE): 0.0 for s in shares}
+    span = math.gcd(*[round(s / LATTICE) for s in shares]) or 1
+    unit, steps = span * LATTICE, defaultdict(float)
     for s, share in shares.items():
-        steps[round(s / LATTICE)] += share
+        steps[round(s / unit)] += share
     low, high = min(steps), max(steps)
     if high <= 0 or sum(k * v for k, v in steps.items()) >= 0:
         return 1.0, 1.0
@@ -251,7 +257,7 @@ def extreme_value_law(shares: dict[float, float]) -> tuple[float, float]:
         q, start = np.convolve(q, p), start + low
         sums = np.arange(start, start + len(q))
         total += (float(q[sums < 0] @ np.exp(lam * sums[sums < 0])) + float(q[sums >= 0].sum())) / k
-    return lam / LATTICE, math.exp(-2 * total) / (entropy / lam * -math.expm1(-lam))
+    return lam / unit, math.exp(-2 * total) / (entropy / lam * -math.expm1(-lam))
 
 
 def corpus_counts(texts: DataFrame, wanted: set[tuple[str, ...]], vocabulary: tuple[set[str], set[str]]) -> tuple[dict[tuple[str, ...], int], dict[tuple[str, ...], int], int, int, int]:
