@@ -8,7 +8,7 @@ NULL with ``error`` for the questions that need it.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyrun.functions.scalars import NO_VALUE, age_on, joined, shown, whole_or_zero, yes_no
 from tallyrun.operators.ordered import argmax_with_ties, mode_with_ties, open_end, ordered_list, overlaps, sequenced_transfers, stints
 from tallyrun.plans.catalog import Catalog, keep_first
+from tallyrun.session import write_out
 
 SEED_FIELDS = ("seed_id", "player_id", "game_id", "transfer_date", "transfer_season", "from_club_id", "to_club_id", "target_date", "country_name", "capital_city", "confederation", "stadium_seats", "stadium_name", "other_player_name", "player_name_1", "player_name_2")
 EUROPE = "Europe"
@@ -51,9 +52,10 @@ class Analytics:
 
     def __init__(self, catalog: Catalog, seeds: DataFrame) -> None:
         self.catalog, self.seeds = catalog, complete_seeds(seeds)
-        self.countries = catalog.country_by_name().select(F.col("country_name").alias("country"), "continent", "capital_city", "confederation", "row_index")
+        self.countries = write_out(catalog.country_by_name().select(F.col("country_name").alias("country"), "continent", "capital_city", "confederation", "row_index"), "countries")
         clubs = catalog.clubs_with_country()
-        self.clubs = clubs.select("club_id", F.col("name").alias("club_name"), F.col("club_country").alias("country"), "continent", "capital_city", "confederation", F.col("stadium_name").alias("stadium"), F.col("stadium_seats").alias("seats"), F.col("domestic_competition_id").alias("league"), "row_index")
+        clubs = clubs.select("club_id", F.col("name").alias("club_name"), F.col("club_country").alias("country"), "continent", "capital_city", "confederation", F.col("stadium_name").alias("stadium"), F.col("stadium_seats").alias("seats"), F.col("domestic_competition_id").alias("league"), "row_index")
+        self.clubs = write_out(clubs, "clubs")
 
     def _club(self, df: DataFrame, key: str, prefix: str) -> DataFrame:
         dim = self.clubs.select(*[F.col(c).alias(prefix + c) for c in self.clubs.columns if c != "row_index"], F.lit(True).alias(prefix + "known"))
@@ -67,18 +69,19 @@ class Analytics:
         """Seeds with the attributes of the country they name, under ``s_``."""
         return self._country(self.seeds, F.col("country_name"), "s_")
 
-    def with_transfers(self) -> DataFrame:
-        """Every seed with every transfer of its player, both clubs and their countries."""
+    @cached_property
+    def rows(self) -> DataFrame:
+        """Every seed with every transfer of its player, both clubs and their countries; joined once for all families."""
         seeds = self.seed_country().filter("player_id IS NOT NULL")
         seeds = seeds.select("seed_id", "player_id", *[F.col(f).alias(f"seed_{f}") for f in SEED_FIELDS if f not in ("seed_id", "player_id")], "s_continent", "s_capital_city", "s_confederation")
         rows = seeds.join(sequenced_transfers(self.catalog.transfers), "player_id")
-        return self._club(self._club(rows, "to_club_id", "t_"), "from_club_id", "f_")
+        return write_out(self._club(self._club(rows, "to_club_id", "t_"), "from_club_id", "f_"), "seed_transfers")
 
     # -- destinations and pairs -------------------------------------------------------------------------------------
 
     def destination_answers(self) -> DataFrame:
         """Ids 0 to 5, 10 to 17, 21 to 24: every destination club must be known."""
-        rows = self.with_transfers()
+        rows = self.rows
         first = lambda c: F.min_by(c, "pos")
         distinct = lambda c: F.count_distinct(F.coalesce(F.col(c), F.lit("")))
         start = rows.groupBy("seed_id").agg(first("t_country").alias("first_country"), first("t_capital_city").alias("first_capital"), first("transfer_season").alias("first_season"))
@@ -108,7 +111,7 @@ class Analytics:
 
     def pair_answers(self) -> DataFrame:
         """Ids 6 to 9 and 18 to 20: both clubs of every transfer must be known."""
-        rows = self.with_transfers()
+        rows = self.rows
         start = rows.groupBy("seed_id").agg(F.min_by("f_country", "pos").alias("first_from"))
         rows = rows.join(start, "seed_id")
         wanted = F.coalesce("seed_country_name", "first_from")
@@ -129,7 +132,7 @@ class Analytics:
     def current_club(self) -> DataFrame:
         """Per seed the last transfer up to the target day whose destination is known; the day is the first transfer's
         unless the seed gives one."""
-        rows = self.with_transfers()
+        rows = self.rows
         start = rows.groupBy("seed_id").agg(F.min("transfer_date").alias("_first"))
         rows = rows.join(start, "seed_id").filter(F.col("transfer_date") <= F.coalesce(F.col("seed_target_date").try_cast("date"), F.col("_first")))
         keep = [c for c in rows.columns if c != "seed_id"]
@@ -169,7 +172,7 @@ class Analytics:
 
     def specific_transfer(self) -> DataFrame:
         """Per seed the first of its transfers with both clubs known, else the first."""
-        rows = self.with_transfers()
+        rows = self.rows
         for c in ("transfer_date", "transfer_season", "from_club_id", "to_club_id"):
             rows = rows.filter(F.col(f"seed_{c}").isNull() | (F.col(f"seed_{c}") == F.col(c).cast("string")))
         keep = [c for c in rows.columns if c != "seed_id"]
@@ -194,7 +197,7 @@ class Analytics:
     def appearance_answers(self) -> DataFrame:
         """Ids 70 to 75: appearances after joining and before the next transfer, and before leaving."""
         t = self.specific_transfer().select("seed_id", "player_id", "transfer_date", "next_date", "previous_date", "previous_to", F.col("to_club_id").alias("to_id"), F.col("from_club_id").alias("from_id"), "seed_country_name", "seed_confederation", "s_confederation", "t_country", "t_confederation")
-        seen = self.catalog.appearances.select("player_id", "appearance_id", F.col("date").alias("day"), "player_club_id", "competition_id").filter("day IS NOT NULL")
+        seen = self.catalog.once("appearances", "player_id", "appearance_id", "date", "player_club_id", "competition_id").withColumnRenamed("date", "day").filter("day IS NOT NULL")
         after = (F.col("player_club_id") == F.col("to_id")) & (F.col("day") >= F.col("transfer_date")) & (F.col("next_date").isNull() | (F.col("day") < F.col("next_date")))
         bound = F.when(F.col("previous_to") == F.col("from_id"), F.col("previous_date"))
         before = (F.col("player_club_id") == F.col("from_id")) & (F.col("day") < F.col("transfer_date")) & (bound.isNull() | (F.col("day") >= bound))
@@ -268,8 +271,9 @@ class Analytics:
     def game_answers(self) -> DataFrame:
         """Ids 25 to 33: counts over all events of the seed's game; its first event gives the type to match."""
         seeds = self.seed_country().filter("game_id IS NOT NULL").select("seed_id", "game_id", F.col("country_name").alias("seed_country_name"), F.col("capital_city").alias("seed_capital_city"), "s_capital_city")
-        events = seeds.join(self.catalog.game_events.select("game_id", "game_event_id", "minute", "type", "club_id", "player_id", "player_assist_id"), "game_id")
         order = F.struct(F.coalesce("minute", F.lit(0)), F.col("game_event_id"))
+        fields = ("game_id", "game_event_id", "minute", "type", "club_id", "player_id", "player_assist_id")
+        events = seeds.join(self.catalog.game_events.select(*fields), "game_id")  # the first one is the same among repeated records
         first = events.groupBy("seed_id").agg(F.min_by(F.struct("type", "club_id", "player_id"), order).alias("f")).select("seed_id", F.col("f.type").alias("first_type"), F.col("f.club_id").alias("first_club"), F.col("f.player_id").alias("first_player"))
         people = self.catalog.players.select("player_id", "country_of_birth", "country_of_citizenship")
         person = lambda p: people.select(*[F.col(c).alias(p + c) for c in people.columns])
@@ -279,7 +283,7 @@ class Analytics:
         first = first.crossJoin(any_country)  # one row
         pick = lambda c: F.when(F.col("g_known"), F.col(f"g_{c}")).otherwise(F.coalesce(F.col(f"hc_{c}"), F.col(f"any.{c}")))
         first = first.select("seed_id", "first_type", pick("country").alias("fall_country"), pick("capital_city").alias("fall_capital"))
-        rows = self._club(events.join(first, "seed_id"), "club_id", "c_")
+        rows = self._club(seeds.join(self.catalog.once("game_events", *fields), "game_id").join(first, "seed_id"), "club_id", "c_")
         rows = rows.join(person("p_"), F.col("player_id") == F.col("p_player_id"), "left").join(person("a_"), F.col("player_assist_id") == F.col("a_player_id"), "left")
         for key, p in (("p_country_of_citizenship", "pz_"), ("p_country_of_birth", "pb_"), ("a_country_of_citizenship", "az_")):
             rows = self._country(rows, F.col(key), p)
@@ -289,8 +293,12 @@ class Analytics:
         capital = F.col("pb_country").isNotNull() & _eq(F.col("pb_capital_city"), F.coalesce("seed_capital_city", "s_capital_city", "fall_capital"))
         tests = {25: typed & europe, 26: F.col("pz_continent") == EUROPE, 27: capital, 28: F.col("az_continent") == EUROPE, 29: wanted, 30: typed & wanted, 32: europe, 33: typed & europe}
         placed = F.bool_and(~F.col("c_known") | (F.col("c_country").isNotNull() & F.col("c_continent").isNotNull())).alias("placed")
-        totals = rows.groupBy("seed_id").agg(placed, *[F.count_if(F.coalesce(t, F.lit(False))).alias(f"n{q}") for q, t in tests.items()])
-        totals = totals.join(mode_with_ties(rows, ["seed_id"], F.when(F.col("c_known"), F.col("c_country")), order, "m31"), "seed_id")
+        country = F.when(F.col("c_known"), F.nullif(F.col("c_country"), F.lit("")))
+        # per game and country first: the mode and the totals come from the same few rows
+        parts = rows.groupBy("seed_id", country.alias("v")).agg(placed, F.count("*").alias("n"), F.min(order).alias("o"), *[F.count_if(F.coalesce(t, F.lit(False))).alias(f"n{q}") for q, t in tests.items()])
+        ranked = F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct((-F.col("n")).alias("n"), "o", "v"))))
+        totals = parts.groupBy("seed_id").agg(F.bool_and("placed").alias("placed"), *[F.sum(f"n{q}").alias(f"n{q}") for q in tests], ranked.alias("r"))
+        totals = totals.withColumn("m31", joined(F.transform(F.filter("r", lambda x: x["n"] == F.col("r")[0]["n"]), lambda x: x["v"])))
         by_player = {26, 27, 28}
         cells = [_cell(q, F.col(f"n{q}"), None if q in by_player else F.col("placed")) for q in tests]
         return _answers(totals, [*cells, _cell(31, shown(F.col("m31")), F.col("placed"))])

@@ -52,6 +52,13 @@ class Catalog:
     game_events: DataFrame
     appearances: DataFrame
     transfers: DataFrame
+    #: Tables in which a record may occur more than once; ``once`` gives each record once.
+    repeated: frozenset[str] = frozenset()
+
+    def once(self, name: str, *columns: str) -> DataFrame:
+        """Each record of a table once, with the given columns (its key among them): only these are compared."""
+        df = getattr(self, name).select(*columns)
+        return df.distinct() if name in self.repeated else df
 
     @classmethod
     def of(cls, tables: Mapping[str, DataFrame]) -> Catalog:
@@ -76,11 +83,11 @@ class Catalog:
         for n in ("countries", "competitions", "games"):
             made[n] = keep_first(canonical(table(spark, folder, n, *COLUMNS[n]), n).filter(F.col(KEYS[n]).isNotNull()).distinct(), [KEYS[n]], *COLUMNS[n])
         for n in ("game_events", "appearances"):
-            made[n] = canonical(table(spark, folder, n, *COLUMNS[n]), n).filter(F.col(KEYS[n]).isNotNull()).distinct()
+            made[n] = canonical(table(spark, folder, n, *COLUMNS[n]), n).filter(F.col(KEYS[n]).isNotNull())
         made["transfers"] = canonical(table(spark, folder, "transfers", *COLUMNS["transfers"]), "transfers").filter("player_id IS NOT NULL AND transfer_date IS NOT NULL").distinct()
         for n in ("players", "clubs", "countries", "competitions"):
             made[n] = made[n].withColumn("row_index", F.coalesce(F.col(KEYS[n]).try_cast("long"), F.lit(0)))
-        return cls(**made)
+        return cls(**made, repeated=frozenset({"game_events", "appearances"}))
 
     def country_by_name(self) -> DataFrame:
         """One country per name: the first in file order."""

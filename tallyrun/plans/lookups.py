@@ -189,7 +189,8 @@ def _compared(first: int, capital: Column | None, confederation: Column | None =
 
 def appearance_questions(catalog: Catalog) -> DataFrame:
     """Level 2, ids 27 to 45."""
-    df = join_player(catalog.appearances, catalog, "player_id")
+    rows = catalog.once("appearances", "appearance_id", "player_id", "player_club_id", "player_current_club_id")
+    df = join_player(rows, catalog, "player_id")
     df = join_country_by_name(join_country_by_name(df, catalog, "p_country_of_birth", "b_"), catalog, "p_country_of_citizenship", "c_")
     df = join_club(join_club(df, catalog, "player_club_id", "then_"), catalog, "player_current_club_id", "now_")
     side = {"birth": "b_", "citizenship": "c_", "player_club_id": "then_", "player_current_club_id": "now_"}
@@ -218,7 +219,7 @@ def game_questions(catalog: Catalog, capital: Column | None = None) -> DataFrame
 
 def event_questions(catalog: Catalog) -> DataFrame:
     """Level 2, ids 67 to 78."""
-    df = join_club(catalog.game_events, catalog, "club_id", "k_")
+    df = join_club(catalog.once("game_events", "game_event_id", "club_id", "player_id"), catalog, "club_id", "k_")
     df = join_player(join_country_by_name(df, catalog, "k_country_name", "kc_"), catalog, "player_id")
     cells = [_cell(q, F.col(f"k_{a}"), F.col("k_found")) for q, a in EVENT_CLUB]
     cells += [_cell(q, F.col(f"kc_{a}"), F.col("kc_found")) for q, a in EVENT_COUNTRY]
