@@ -2,8 +2,9 @@
 
 Method: the test items become a BM25 inverted index with block maxima.  Every document is a query against it, answered by
 block-max WAND, which skips whatever cannot reach the threshold and returns every item above it.  The threshold of an
-item is the lowest score that a text carrying the wanted share of its words can have (its cheapest words first, with
-some slack for changed ones), so no such document is lost by retrieval.  Impacts are divided by it; 1 is the bar for all.
+item is a lower bound of the score of any text that verification would accept: the cheapest stretches that hold the
+wanted share of its words, less the weight that may differ in them.  So no document is lost by retrieval.  Impacts are
+divided by it; 1 is the bar for all.
 
 What is retrieved is verified on the words themselves: shared word pairs are chained into stretches of the item, a
 stretch counts when it is long enough and has the item's own names and figures (by weight), and the counted stretches
@@ -22,6 +23,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from tallyrun.llm.spread import spread
 from tallyrun.llm.text import words
 
 BLOCK = 5_000
-#: Share of an item's words that makes a case, and how much less retrieval asks for.
+#: Share of an item's words that makes a case, and the part of the bounds that retrieval asks for.
 SHARE, SLACK = 0.5, 0.8
 #: Words of a stretch, words that may differ between two of its shared pairs, and the weight it must share.
 MIN_STRETCH, MAX_GAP, MIN_WEIGHT = 6, 3, 0.75
@@ -61,6 +63,29 @@ class Cursor:
         self.at, self.now = at, ids[at] if at < size else end
 
 
+def cheapest_stretches(cost: np.ndarray, wanted: int, least: int) -> float:
+    """Lowest total cost of stretches of at least ``least`` places that together hold ``wanted`` places.
+
+    One pass over the places; ``state[r][j]`` is the cheapest way to have j places (``wanted`` at most) with the current
+    stretch r long (``least`` at most, 0 outside).
+    """
+    wanted = min(wanted, len(cost))
+    if wanted <= 0:
+        return 0.0
+    state = np.full((least + 1, wanted + 1), np.inf)
+    state[0, 0] = 0.0
+    for c in cost:
+        more = np.full_like(state, np.inf)
+        more[:, 1:] = state[:, :-1] + c
+        more[:, wanted] = np.minimum(more[:, wanted], state[:, wanted] + c)
+        after = np.full_like(state, np.inf)
+        after[0] = np.minimum(state[0], state[least])
+        after[1:least] = more[: least - 1]
+        after[least] = np.minimum(more[least - 1], more[least])
+        state = after
+    return float(min(state[0, wanted], state[least, wanted]))
+
+
 class ItemIndex:
     """Inverted index of test items and the check of a document against one of them."""
 
@@ -79,7 +104,11 @@ class ItemIndex:
                 continue
             tf = Counter(w)
             score = {t: self.idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * sizes[i] / mean)) for t, c in tf.items()}
-            bar = self._least(tf, score, share * SLACK * sizes[i])
+            each = np.array([score[t] / tf[t] for t in w])
+            top = (K1 + 1) / (1 + K1 * (1 - B + B * sizes[i] / mean))
+            lost = (1 - MIN_WEIGHT) * top * np.array([self.idf[t] for t in w])
+            stretches = cheapest_stretches(each - lost, math.ceil(share * sizes[i] - 1e-9), min(MIN_STRETCH, sizes[i]))
+            bar = max(self._least(tf, score, share * SLACK * sizes[i]), SLACK * stretches)
             for t, s in score.items():
                 lists[t].append((i, s / bar))
         self.postings = {t: self._list(p) for t, p in lists.items()}
@@ -212,10 +241,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, share: float = SHARE, b
     out = None
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text", "answer").collect()
-        shared = spark.sparkContext.broadcast(sorted((tuple(r) for r in rows), key=lambda r: r[0]))
+        shared = spark.sparkContext.broadcast(ItemIndex(sorted((tuple(r) for r in rows), key=lambda r: r[0]), share))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            index = ItemIndex(shared.value, share)
+            index = shared.value
             for batch in batches:
                 found = [(d, *leak) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for leak in index.leaks(t)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "question_overlap", "answer_overlap"])

@@ -33,13 +33,41 @@ def test_retrieval_gives_every_item_above_the_bar():
         assert len(got) == len(set(got))
 
 
-def test_a_text_with_the_wanted_share_is_never_below_the_bar():
+def test_stretches_that_verification_accepts_are_never_below_the_bar():
     items, rng = corpus()
     index = ItemIndex(items)
     for k, own in enumerate(index.words):
-        for _ in range(5):
-            half = rng.sample(own, -(-len(own) // 2))
-            assert k in index.retrieve(sorted(set(half)))
+        for _ in range(6):
+            text, at = [], rng.randrange(4)
+            while at < len(own):
+                size = rng.randrange(6, 20)
+                text += [w for w in own[at : at + size] if rng.random() > 0.06] + ["filler"] * 5
+                at += size + rng.randrange(0, 12)
+            if any(i == k for i, _, _ in index.leaks(" ".join(text))):
+                assert k in index.retrieve(sorted(set(text)))
+            pairs = {p: [] for p in zip(text, text[1:], strict=False)}
+            for n, p in enumerate(zip(text, text[1:], strict=False)):
+                pairs[p].append(n)
+            if index.carried(k, pairs) >= index.share:
+                assert k in index.retrieve(sorted(set(text)))
+
+
+def test_cheapest_stretches_against_brute_force():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        n, least = int(rng.integers(2, 9)), int(rng.integers(1, 4))
+        cost, wanted = rng.normal(1, 1, n), int(rng.integers(1, n + 1))
+        least = min(least, n)
+        sums = []
+        for pick in itertools.product((0, 1), repeat=n):
+            runs = [len(list(g)) for v, g in itertools.groupby(pick) if v]
+            if sum(pick) >= wanted and all(r >= least for r in runs):
+                sums.append(float(cost[np.array(pick, bool)].sum()))
+        assert abs(E.cheapest_stretches(cost, wanted, least) - min(sums)) < 1e-9
 
 
 def leaked(index, text):
