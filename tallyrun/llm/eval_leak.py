@@ -38,6 +38,12 @@ SHARE, SLACK = 0.5, 0.8
 MIN_STRETCH, MAX_GAP, MIN_WEIGHT = 6, 3, 0.75
 #: BM25's parameters and the length of a block of postings.
 K1, B, POSTINGS_BLOCK = 1.2, 0.75, 32
+#: Part of the bar that the lists without a cursor may hold together.
+SIDE = 0.6
+
+
+def _place(c: Cursor) -> int:
+    return c.now
 
 
 class Cursor:
@@ -125,23 +131,31 @@ class ItemIndex:
         return max(total * (1 - 1e-9), 1e-9)
 
     @staticmethod
-    def _list(p: list[tuple[int, float]]) -> tuple[list[int], list[float], list[float], float]:
+    def _list(p: list[tuple[int, float]]) -> tuple[list[int], list[float], list[float], float, dict[int, float]]:
         ids, impacts = [i for i, _ in p], [s for _, s in p]
         maxima = [max(impacts[k : k + POSTINGS_BLOCK]) for k in range(0, len(impacts), POSTINGS_BLOCK)]
-        return ids, impacts, maxima, max(impacts)
+        return ids, impacts, maxima, max(impacts), dict(p)
 
     def retrieve(self, terms: Iterable[str]) -> list[int]:
-        """Block-max WAND: every item whose score reaches its bar."""
-        cursors = [Cursor(*p) for t in terms if (p := self.postings.get(t))]
-        if sum(c.bound for c in cursors) < 1:
+        """Block-max WAND: every item whose score reaches its bar.
+
+        The lists with the smallest bounds, ``SIDE`` of the bar together, do not move a cursor: their bounds are added
+        to every sum, and their impacts are looked up for the items that pass.
+        """
+        lists = sorted((p for t in terms if (p := self.postings.get(t))), key=lambda p: p[3])
+        if sum(p[3] for p in lists) < 1:
             return []
+        rest, aside = 0.0, 0
+        while rest + lists[aside][3] < SIDE:
+            rest += lists[aside][3]
+            aside += 1
+        side = [p[4] for p in lists[:aside]]
+        cursors = [Cursor(*p[:4]) for p in lists[aside:]]
         end, out = len(self.keys), []
-        while True:
-            cursors.sort(key=lambda c: c.now)
-            total, pivot = 0.0, -1
+        while cursors:
+            cursors.sort(key=_place)
+            total, pivot = rest, -1
             for k, c in enumerate(cursors):
-                if c.now == end:
-                    break
                 total += c.bound
                 if total >= 1:
                     pivot = k
@@ -151,7 +165,7 @@ class ItemIndex:
             item = cursors[pivot].now
             while pivot + 1 < len(cursors) and cursors[pivot + 1].now == item:
                 pivot += 1
-            head, total, border = cursors[: pivot + 1], 0.0, end
+            head, total, border = cursors[: pivot + 1], rest, end
             for c in head:  # the blocks in which the item would lie
                 at, ids = c.at, c.ids
                 last = min((at // POSTINGS_BLOCK + 1) * POSTINGS_BLOCK, len(ids)) - 1
@@ -163,20 +177,23 @@ class ItemIndex:
                     border = min(border, ids[last] + 1)
             if total >= 1:
                 if head[0].now == item:
-                    if sum(c.impacts[c.at] for c in head) >= 1:
+                    score = sum(c.impacts[c.at] for c in head)
+                    if score + rest >= 1 and score + sum(s.get(item, 0.0) for s in side) >= 1:
                         out.append(item)
-                    for c in head:
-                        c.advance(item + 1, end)
+                    to = item + 1
                 else:
-                    for c in head:
-                        if c.now < item:
-                            c.advance(item, end)
+                    to = item
             else:
                 after = cursors[pivot + 1].now if pivot + 1 < len(cursors) else end
                 to = max(item + 1, min(border, after))
-                for c in head:
+            done = False
+            for c in head:
+                if c.now < to:
                     c.advance(to, end)
-            cursors = [c for c in cursors if c.now < end]
+                    done |= c.now >= end
+            if done:
+                cursors = [c for c in cursors if c.now < end]
+        return out
 
     def carried(self, item: int, pairs: dict[tuple[str, str], list[int]]) -> float:
         """Share of the item's words that the document holds in stretches; ``pairs`` are its word pairs' places."""
