@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tallyrun.functions.scalars import FEET, NO_VALUE, clamped_date, hashed_int, lenient_date, month_shifted, signed_step, whole_number
 
 SEED = "42"
+#: Hex digits of a value's hash that name its bucket; buckets are put in order by a window each.
+BUCKET_DIGITS = 3
 
 
 def derangement(df: DataFrame, columns: Sequence[str], seed: str, eligible: Column | None = None) -> DataFrame:
@@ -25,12 +27,17 @@ def derangement(df: DataFrame, columns: Sequence[str], seed: str, eligible: Colu
     rows = df if eligible is None else df.filter(eligible)
     for c in columns:
         rows = rows.filter(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""))
-    values = rows.select(*columns).distinct()
-    order = Window.orderBy(F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in columns])), *columns)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pick = [F.coalesce(F.lead(c).over(order), F.first(c).over(whole)).alias(f"new_{c}") for c in columns]
-    mapped = values.select(*[F.col(c).alias(f"old_{c}") for c in columns], *pick, F.count(F.lit(1)).over(whole).alias("_n"))
-    return mapped.filter("_n > 1").drop("_n")
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in columns]))
+    values = rows.select(*columns).distinct().withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+    order = Window.partitionBy("_b").orderBy("_h", *columns)
+    values = values.withColumn("_next", F.lead(F.struct(*columns)).over(order))
+    # the last value of a bucket goes on to the first of the next one, the last bucket's to the very first
+    heads = values.groupBy("_b").agg(F.min_by(F.struct(*columns), F.struct("_h", *columns)).alias("_head"), F.count("*").alias("_n"))
+    ring = Window.orderBy("_b")  # at most 16 ** BUCKET_DIGITS rows
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("_b", F.coalesce(F.lead("_head").over(ring), F.first("_head").over(whole)).alias("_after"), F.sum("_n").over(whole).alias("_all"))
+    found = values.join(heads, "_b").filter("_all > 1").withColumn("_new", F.coalesce("_next", "_after"))
+    return found.select(*[F.col(c).alias(f"old_{c}") for c in columns], *[F.col(f"_new.{c}").alias(f"new_{c}") for c in columns])
 
 
 def swap(df: DataFrame, columns: Sequence[str], seed: str, eligible: Column | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ def contrast_players(transfers: DataFrame, players: DataFrame, count: int = 3) -
     apart = first(shared.join(meets, "player_id", "left_anti"), 1)
     clubs = values_of((mine, ("from_club_id", "to_club_id"))).filter("v <> '515'")
     touched = others.select("player_id", F.explode(F.array("from_club_id", "to_club_id")).alias("v")).join(clubs, "v", "left_semi").select("player_id").distinct()
-    disjoint = first(others.join(touched, "player_id", "left_anti").join(values_of((mine, ("player_id",))), F.lit(True), "left_semi"), 2)
+    disjoint = first(others.join(touched, "player_id", "left_anti").filter(mine.exists()), 2)
     chosen = overlapping.unionByName(apart).unionByName(disjoint)
     return chosen.orderBy("kind").limit(count).select("v")
 

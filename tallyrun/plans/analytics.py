@@ -8,6 +8,8 @@ NULL with ``error`` for the questions that need it.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from tallyrun.functions.scalars import NO_VALUE, age_on, joined, shown, whole_or_zero, yes_no
 from tallyrun.operators.ordered import argmax_with_ties, mode_with_ties, open_end, ordered_list, overlaps, sequenced_transfers, stints
 from tallyrun.plans.catalog import Catalog, keep_first
+from tallyrun.plans.templates import filled
 from tallyrun.session import write_out
 
 SEED_FIELDS = ("seed_id", "player_id", "game_id", "transfer_date", "transfer_season", "from_club_id", "to_club_id", "target_date", "country_name", "capital_city", "confederation", "stadium_seats", "stadium_name", "other_player_name", "player_name_1", "player_name_2")
@@ -38,9 +41,20 @@ def _cell(question: int, answer: Column, ok: Column | None = None) -> Column:
     return F.struct(F.lit(question).alias("q"), F.when(ok, answer.cast("string")).alias("a"), F.when(~ok, F.lit("a needed row is missing")).alias("e"))
 
 
-def _answers(df: DataFrame, cells: list[Column]) -> DataFrame:
-    out = df.select("seed_id", F.explode(F.array(*cells)).alias("c"))
-    return out.select("seed_id", F.col("c.q").alias("question_id"), F.col("c.a").alias("answer"), F.col("c.e").alias("error"))
+# What kind of computation stands behind the answers that are no single cell.
+OPERATIONS = {
+    "count_distinct": (0, 12, 21), "mode": (1, 13, 22, 31, 74, 75), "count_matches_placeholder": (2, 23, 72, 73), "list_in_transfer_date_order": (3, 15), "first_by_transfer_date": (4, 16),
+    "latest_by_transfer_date": (5, 17), "count_same": (6, 18), "count_different": (7, 19), "exists_different": (8, 20), "count_from_placeholder_country_to_different_country": (9,),
+    "count_distinct_in_season": (10,), "season_with_max_distinct": (11,), "count_matches_fixed_europe": (14, 25, 26, 28, 32, 33), "all_same": (24,), "count_matches": (27, 29, 30),
+    "compare": (37, 41, 46, 47, 48, 56, 57, 58, 59, 60, 61, 62, 63, 64, 65, 66, 67), "greater_than": (38,), "less_than": (39,), "equals": (40,), "compare_fixed_europe": (45,), "count": (53,),
+    "age_on_date": (68, 69), "age_on_appearance_date": (70, 71), "list_overlapping_players": (76,), "count_overlapping_players": (77,), "exists_overlap_with_placeholder_player": (78,),
+    "named_players_overlap": (79,), "named_players_overlap_range": (80,), "left_before_arrived": (81,), "already_at_club": (82,), "list_already_at_club": (83,), "list_joined_after_before_next_transfer": (84,),
+}
+
+
+def operation_of(question: Column) -> Column:
+    """The operation behind an answer; NULL where it is a cell of a table."""
+    return reduce(lambda rest, e: F.when(question.isin(*e[1]), e[0]).otherwise(rest), OPERATIONS.items(), F.lit(None).cast("string"))
 
 
 def _eq(a: Column, b: Column) -> Column:
@@ -50,13 +64,30 @@ def _eq(a: Column, b: Column) -> Column:
 class Analytics:
     """The families of questions over one catalog and one set of seeds."""
 
-    def __init__(self, catalog: Catalog, seeds: DataFrame) -> None:
+    def __init__(self, catalog: Catalog, seeds: DataFrame, texts: Mapping[int, str] | None = None) -> None:
+        self.texts = texts
         self.catalog, self.seeds = catalog, complete_seeds(seeds)
         self.countries = write_out(catalog.country_by_name().select(F.col("country_name").alias("country"), "continent", "capital_city", "confederation", "row_index"), "countries")
         clubs = catalog.clubs_with_country()
         clubs = clubs.select("club_id", F.col("name").alias("club_name"), F.col("club_country").alias("country"), "continent", "capital_city", "confederation", F.col("stadium_name").alias("stadium"), F.col("stadium_seats").alias("seats"), F.col("domestic_competition_id").alias("league"), "row_index")
         self.clubs = write_out(clubs, "clubs")
 
+    def _answers(self, df: DataFrame, cells: list[Column], **fills: Column) -> DataFrame:
+        """The cells as rows; with the templates' texts the questions too, filled with ``table__column`` values."""
+        out = df.select("seed_id", F.explode(F.array(*cells)).alias("c"), *self._questions(fills))
+        columns = ["seed_id", F.col("c.q").alias("question_id"), F.col("c.a").alias("answer"), F.col("c.e").alias("error")]
+        if self.texts is None:
+            return out.select(*columns)
+        return out.select(*columns, F.try_element_at("questions", F.col("c.q")).alias("question"), operation_of(F.col("c.q")).alias("operation"))
+
+    def _questions(self, fills: Mapping[str, Column]) -> list[Column]:
+        if self.texts is None:
+            return []
+        values = {k.replace("__", ".", 1): v for k, v in fills.items()}
+        known = {q: t for q, t in self.texts.items() if set(re.findall(r"\{([^{}]+)\}", t)) <= set(values)}
+        pairs = [x for q, t in known.items() for x in (F.lit(q), filled(t, values))]
+        return [(F.create_map(*pairs) if pairs else F.create_map().cast("map<int,string>")).alias("questions")]
+
     def _club(self, df: DataFrame, key: str, prefix: str) -> DataFrame:
         dim = self.clubs.select(*[F.col(c).alias(prefix + c) for c in self.clubs.columns if c != "row_index"], F.lit(True).alias(prefix + "known"))
         return df.join(dim, F.col(key) == F.col(prefix + "club_id"), "left").withColumn(prefix + "known", F.coalesce(prefix + "known", F.lit(False)))
@@ -90,7 +121,8 @@ class Analytics:
         wanted_capital = F.coalesce("seed_capital_city", "s_capital_city", "first_capital")
         in_season = F.col("transfer_season") == F.coalesce("seed_transfer_season", "first_season")
         totals = rows.groupBy("seed_id").agg(
-            F.bool_and("t_known").alias("ok"),
+            F.bool_and("t_known").alias("ok"), *[F.min_by(c, "pos").alias(n) for c, n in (("player_name", "player_name"), ("t_club_name", "first_club"))],
+            F.first(F.coalesce("seed_transfer_season", "first_season")).alias("season"), F.first(wanted_country).alias("wanted_country"), F.first(wanted_capital).alias("wanted_capital"),
             F.bool_and(~F.col("t_known") | F.col("t_country").isNotNull()).alias("placed"),
             *[distinct(f"t_{c}").alias(f"n_{c}") for c in ("country", "continent", "capital_city")],
             F.count_distinct(F.when(in_season, F.coalesce("t_country", F.lit("")))).alias("n_season"),
@@ -107,7 +139,8 @@ class Analytics:
         plan = [(0, F.col("n_country")), (1, F.col("mode_country")), (2, F.col("n_wanted")), (3, F.col("list_country")), (4, F.col("first_country.v")), (5, F.col("last_country.v")),
                 (10, F.col("n_season")), (11, F.col("seasons")), (12, F.col("n_continent")), (13, F.col("mode_continent")), (14, F.col("n_europe")), (15, F.col("list_continent")),
                 (16, F.col("first_continent.v")), (17, F.col("last_continent.v")), (21, F.col("n_capital_city")), (22, F.col("mode_capital_city")), (23, F.col("n_capital")), (24, yes_no(F.col("n_continent") <= 1))]
-        return _answers(totals, [_cell(q, a, ok) for q, a in plan])
+        c = F.col
+        return self._answers(totals, [_cell(q, a, ok) for q, a in plan], transfers__player_name=c("player_name"), transfers__transfer_season=c("season"), countries__country_name=c("wanted_country"), countries__capital_city=c("wanted_capital"), clubs__name=c("first_club"))
 
     def pair_answers(self) -> DataFrame:
         """Ids 6 to 9 and 18 to 20: both clubs of every transfer must be known."""
@@ -121,11 +154,12 @@ class Analytics:
             *[F.count_if(s).alias(f"same_{c}") for c, s in same.items()],
             *[F.count_if(~s).alias(f"other_{c}") for c, s in same.items()],
             F.count_if(_eq(F.col("f_country"), wanted) & ~_eq(F.col("t_country"), wanted)).alias("left"),
+            F.min_by("player_name", "pos").alias("player_name"), F.first(wanted).alias("wanted_country"),
         )
         cells = []
         for base, c in ((6, "country"), (18, "continent")):
             cells += [_cell(base, F.col(f"same_{c}"), F.col("ok")), _cell(base + 1, F.col(f"other_{c}"), F.col("ok")), _cell(base + 2, yes_no(F.col(f"other_{c}") > 0), F.col("ok"))]
-        return _answers(totals, [*cells, _cell(9, F.col("left"), F.col("ok"))])
+        return self._answers(totals, [*cells, _cell(9, F.col("left"), F.col("ok"))], transfers__player_name=F.col("player_name"), countries__country_name=F.col("wanted_country"))
 
     # -- the club on a day ------------------------------------------------------------------------------------------
 
@@ -134,7 +168,7 @@ class Analytics:
         unless the seed gives one."""
         rows = self.rows
         start = rows.groupBy("seed_id").agg(F.min("transfer_date").alias("_first"))
-        rows = rows.join(start, "seed_id").filter(F.col("transfer_date") <= F.coalesce(F.col("seed_target_date").try_cast("date"), F.col("_first")))
+        rows = rows.join(start, "seed_id").filter(F.col("transfer_date") <= F.coalesce(F.col("seed_target_date").try_cast("date"), F.col("_first"))).withColumnRenamed("_first", "first_day")
         keep = [c for c in rows.columns if c != "seed_id"]
         return rows.filter("t_known").groupBy("seed_id").agg(F.max_by(F.struct(*keep), "pos").alias("r")).select("seed_id", "r.*")
 
@@ -166,7 +200,8 @@ class Analytics:
         ]
         for q, side, c in ((58, "z_", "continent"), (59, "y_", "continent"), (60, "z_", "confederation"), (61, "y_", "confederation"), (62, "z_", "capital_city"), (63, "y_", "capital_city")):
             cells.append(_cell(q, yes_no(F.col(f"{side}country").isNotNull() & _eq(F.col(f"t_{c}"), F.col(f"{side}{c}"))), placed & player))
-        return _answers(now, cells)
+        day = F.coalesce(F.col("seed_target_date"), F.date_format("first_day", "yyyy-MM-dd"))
+        return self._answers(now, cells, transfers__player_name=F.col("player_name"), target_date=day, countries__country_name=F.coalesce("seed_country_name", "t_country"), countries__confederation=given("confederation"), countries__capital_city=given("capital_city"), clubs__stadium_seats=wanted_seats, clubs__stadium_name=F.coalesce("seed_stadium_name", "t_stadium"))
 
     # -- one transfer -----------------------------------------------------------------------------------------------
 
@@ -184,19 +219,25 @@ class Analytics:
         t = self.specific_transfer()
         both = F.col("t_known") & F.col("f_known") & F.col("t_country").isNotNull() & F.col("f_country").isNotNull()
         plan = ((64, "country"), (65, "continent"), (66, "confederation"), (67, "capital_city"))
-        return _answers(t, [_cell(q, yes_no(_eq(F.col(f"f_{c}"), F.col(f"t_{c}"))), both) for q, c in plan])
+        return self._answers(t, [_cell(q, yes_no(_eq(F.col(f"f_{c}"), F.col(f"t_{c}"))), both) for q, c in plan], **self._of_transfer())
+
+    @staticmethod
+    def _of_transfer() -> dict[str, Column]:
+        """Placeholders of one transfer's questions."""
+        names = ("player_name", "transfer_date", "transfer_season", "from_club_name", "to_club_name")
+        return {f"transfers__{c}": F.col(c) for c in names}
 
     def age_answers(self) -> DataFrame:
         """Ids 68 and 69: ages at the first and latest transfer."""
         born = self.catalog.players.select(F.col("player_id").alias("_player"), "date_of_birth")
-        rows = self.seeds.select("seed_id", "player_id").filter("player_id IS NOT NULL").join(self.catalog.transfers.select("player_id", "transfer_date"), "player_id")
-        ends = rows.groupBy("seed_id", "player_id").agg(F.min("transfer_date").alias("a"), F.max("transfer_date").alias("b")).join(born, F.col("player_id") == F.col("_player"), "left")
+        rows = self.seeds.select("seed_id", "player_id").filter("player_id IS NOT NULL").join(self.catalog.transfers.select("player_id", "player_name", "transfer_date"), "player_id")
+        ends = rows.groupBy("seed_id", "player_id").agg(F.min_by("player_name", F.struct("transfer_date", "player_name")).alias("player_name"), F.min("transfer_date").alias("a"), F.max("transfer_date").alias("b")).join(born, F.col("player_id") == F.col("_player"), "left")
         ok = F.col("date_of_birth").isNotNull()
-        return _answers(ends, [_cell(68, age_on(F.col("date_of_birth"), F.col("a")), ok), _cell(69, age_on(F.col("date_of_birth"), F.col("b")), ok)])
+        return self._answers(ends, [_cell(68, age_on(F.col("date_of_birth"), F.col("a")), ok), _cell(69, age_on(F.col("date_of_birth"), F.col("b")), ok)], transfers__player_name=F.col("player_name"))
 
     def appearance_answers(self) -> DataFrame:
         """Ids 70 to 75: appearances after joining and before the next transfer, and before leaving."""
-        t = self.specific_transfer().select("seed_id", "player_id", "transfer_date", "next_date", "previous_date", "previous_to", F.col("to_club_id").alias("to_id"), F.col("from_club_id").alias("from_id"), "seed_country_name", "seed_confederation", "s_confederation", "t_country", "t_confederation")
+        t = self.specific_transfer().select("seed_id", "player_id", "transfer_date", "next_date", "previous_date", "previous_to", F.col("to_club_id").alias("to_id"), F.col("from_club_id").alias("from_id"), "seed_country_name", "seed_confederation", "s_confederation", "t_country", "t_confederation", "player_name", "transfer_season", "from_club_name", "to_club_name")
         seen = self.catalog.once("appearances", "player_id", "appearance_id", "date", "player_club_id", "competition_id").withColumnRenamed("date", "day").filter("day IS NOT NULL")
         after = (F.col("player_club_id") == F.col("to_id")) & (F.col("day") >= F.col("transfer_date")) & (F.col("next_date").isNull() | (F.col("day") < F.col("next_date")))
         bound = F.when(F.col("previous_to") == F.col("from_id"), F.col("previous_date"))
@@ -224,7 +265,7 @@ class Analytics:
             _cell(72, F.coalesce("n_country", F.lit(0)), wanted), _cell(73, F.coalesce("n_confederation", F.lit(0)), wanted),
             _cell(74, F.coalesce("m_type", none)), _cell(75, F.coalesce("m_sub_type", none)),
         ]
-        return _answers(t, cells)
+        return self._answers(t, cells, **self._of_transfer(), countries__country_name=F.col("w_country"), countries__confederation=F.col("w_confederation"))
 
     # -- stints at one club -----------------------------------------------------------------------------------------
 
@@ -249,7 +290,7 @@ class Analytics:
         names = lambda w, o: joined(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(w, F.struct(o.alias("o"), F.col("player_name").alias("n"))))), lambda x: x["n"])))
         by_start = F.struct("c", "player_name", "player_id")
         totals = rows.groupBy("seed_id").agg(
-            names(meets, order).alias("l76"), F.count_distinct(F.when(meets, F.col("player_id"))).alias("n77"), F.coalesce(F.bool_or(meets & (F.col("player_name") == other)), F.lit(False)).alias("b78"),
+            F.first(other).alias("other_player_name"), F.first(one).alias("player_name_1"), F.first(two).alias("player_name_2"), F.first("own_name").alias("player_name"), names(meets, order).alias("l76"), F.count_distinct(F.when(meets, F.col("player_id"))).alias("n77"), F.coalesce(F.bool_or(meets & (F.col("player_name") == other)), F.lit(False)).alias("b78"),
             F.coalesce(F.bool_or(already & (F.col("player_name") == other)), F.lit(False)).alias("b82"), names(already, order).alias("l83"), names(later, by_start).alias("l84"),
         )
         side = lambda name, p: rows.filter(F.col("player_name") == name).select("seed_id", F.col("player_id").alias(f"{p}i"), F.col("c").alias(f"{p}c"), F.col("d").alias(f"{p}d")).distinct()
@@ -264,7 +305,8 @@ class Analytics:
             _cell(76, F.col("l76")), _cell(77, F.col("n77")), _cell(78, yes_no(F.col("b78"))), _cell(79, yes_no(F.coalesce("b79", no))), _cell(80, F.coalesce("r80", F.lit("No overlap"))),
             _cell(81, yes_no(F.coalesce("b81", no))), _cell(82, yes_no(F.col("b82"))), _cell(83, F.col("l83")), _cell(84, F.col("l84")),
         ]
-        return _answers(totals, cells)
+        fills = {n: F.col(n) for n in ("other_player_name", "player_name_1", "player_name_2")}
+        return self._answers(totals, cells, **fills, transfers__player_name=F.col("player_name"))
 
     # -- games ------------------------------------------------------------------------------------------------------
 
@@ -279,9 +321,8 @@ class Analytics:
         person = lambda p: people.select(*[F.col(c).alias(p + c) for c in people.columns])
         first = self._club(first, "first_club", "g_").join(person("h_"), F.col("first_player") == F.col("h_player_id"), "left")
         first = self._country(first, F.col("h_country_of_citizenship"), "hc_")
-        any_country = self.countries.agg(F.min_by(F.struct("country", "capital_city"), "row_index").alias("any"))
-        first = first.crossJoin(any_country)  # one row
-        pick = lambda c: F.when(F.col("g_known"), F.col(f"g_{c}")).otherwise(F.coalesce(F.col(f"hc_{c}"), F.col(f"any.{c}")))
+        anywhere = self.countries.agg(F.min_by(F.struct("country", "capital_city"), "row_index")).scalar()
+        pick = lambda c: F.when(F.col("g_known"), F.col(f"g_{c}")).otherwise(F.coalesce(F.col(f"hc_{c}"), anywhere[c]))
         first = first.select("seed_id", "first_type", pick("country").alias("fall_country"), pick("capital_city").alias("fall_capital"))
         rows = self._club(seeds.join(self.catalog.once("game_events", *fields), "game_id").join(first, "seed_id"), "club_id", "c_")
         rows = rows.join(person("p_"), F.col("player_id") == F.col("p_player_id"), "left").join(person("a_"), F.col("player_assist_id") == F.col("a_player_id"), "left")
@@ -295,13 +336,15 @@ class Analytics:
         placed = F.bool_and(~F.col("c_known") | (F.col("c_country").isNotNull() & F.col("c_continent").isNotNull())).alias("placed")
         country = F.when(F.col("c_known"), F.nullif(F.col("c_country"), F.lit("")))
         # per game and country first: the mode and the totals come from the same few rows
-        parts = rows.groupBy("seed_id", country.alias("v")).agg(placed, F.count("*").alias("n"), F.min(order).alias("o"), *[F.count_if(F.coalesce(t, F.lit(False))).alias(f"n{q}") for q, t in tests.items()])
+        rows = rows.withColumns({"w_country": F.coalesce("seed_country_name", "fall_country"), "w_capital": F.coalesce("seed_capital_city", "s_capital_city", "fall_capital")})
+        shown_too = ("game_id", "first_type", "w_country", "w_capital") if self.texts else ()
+        parts = rows.groupBy("seed_id", country.alias("v")).agg(placed, *[F.first(c).alias(c) for c in shown_too], F.count("*").alias("n"), F.min(order).alias("o"), *[F.count_if(F.coalesce(t, F.lit(False))).alias(f"n{q}") for q, t in tests.items()])
         ranked = F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct((-F.col("n")).alias("n"), "o", "v"))))
-        totals = parts.groupBy("seed_id").agg(F.bool_and("placed").alias("placed"), *[F.sum(f"n{q}").alias(f"n{q}") for q in tests], ranked.alias("r"))
+        totals = parts.groupBy("seed_id").agg(F.bool_and("placed").alias("placed"), *[F.first(c).alias(c) for c in shown_too], *[F.sum(f"n{q}").alias(f"n{q}") for q in tests], ranked.alias("r"))
         totals = totals.withColumn("m31", joined(F.transform(F.filter("r", lambda x: x["n"] == F.col("r")[0]["n"]), lambda x: x["v"])))
         by_player = {26, 27, 28}
         cells = [_cell(q, F.col(f"n{q}"), None if q in by_player else F.col("placed")) for q in tests]
-        return _answers(totals, [*cells, _cell(31, shown(F.col("m31")), F.col("placed"))])
+        return self._answers(totals, [*cells, _cell(31, shown(F.col("m31")), F.col("placed"))], **({"game_events__game_id": F.col("game_id"), "game_events__type": F.col("first_type"), "countries__country_name": F.col("w_country"), "countries__capital_city": F.col("w_capital")} if self.texts else {}))
 
     def all_answers(self) -> DataFrame:
         """Every family's answers: ``seed_id, question_id, answer, error``."""

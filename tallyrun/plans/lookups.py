@@ -6,17 +6,23 @@ of its rows in one pass: the joins of the path once, then an array of answers, e
 optimiser broadcasts them by their measured size; nothing is hinted.
 
 A lookup that must succeed and does not gives answer NULL with ``error``; it never drops the row.
+
+With the templates' texts given, every answer comes as a record: the filled question, and the rows, placeholders and
+cell that it rests on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrun.functions.scalars import age_on, same_text, shown, yes_no
-from tallyrun.plans.catalog import KEYS, Catalog
+from tallyrun.plans.catalog import ALIASES, COLUMNS, KEYS, Catalog
+from tallyrun.plans.provenance import distinct_refs, row_ref
+from tallyrun.plans.templates import filled
 
 AGE_DAY = "2025-12-31"
 
@@ -85,12 +91,34 @@ def explained(table: str, attribute: str) -> Column:
     return F.concat(F.lit(f"{table}.{attribute} is "), shown(F.col(attribute)), F.lit("."))
 
 
-def level_1_answers(catalog: Catalog, table: str) -> DataFrame:
+def level_1_answers(catalog: Catalog, table: str, texts: Mapping[int, str] | None = None) -> DataFrame:
     """Columns ``question_id, id_value, answer, explanation`` for every row of the table and question about it."""
-    rows = getattr(catalog, table)
-    cells = [F.struct(F.lit(q).alias("q"), single_row_answer(a, w).alias("a"), explained(table, a).alias("e")) for q, a, w in LEVEL_1[table]]
-    out = rows.select(F.col(KEYS[table]).alias("id_value"), F.explode(F.array(*cells)).alias("c"))
-    return out.select(F.col("c.q").alias("question_id"), "id_value", F.col("c.a").alias("answer"), F.col("c.e").alias("explanation"))
+    rows, key = getattr(catalog, table), KEYS[table]
+    fills = {f"{t}{c}": F.col(c) for c in COLUMNS[table] for t in ("", f"{table}.")}
+    cells = []
+    for q, a, w in LEVEL_1[table]:
+        parts = [F.lit(q).alias("q"), single_row_answer(a, w).alias("a"), explained(table, a).alias("e")]
+        cells.append(F.struct(*parts, *_record(texts, q, fills, F.array(row_ref(table, key)), row_ref(table, key), a)))
+    if texts is not None:
+        cells = [c for c, (q, _, _) in zip(cells, LEVEL_1[table], strict=True) if q in texts]
+    out = rows.select(F.col(key).alias("id_value"), F.explode(F.array(*cells)).alias("c"))
+    return out.select(F.col("c.q").alias("question_id"), "id_value", F.col("c.a").alias("answer"), F.col("c.e").alias("explanation"), *_record_columns(texts))
+
+
+def _record(texts: Mapping[int, str] | None, question: int, fills: Mapping[str, Column], refs: Column, source: Column, attribute: str) -> list[Column]:
+    """Question text and ground truth of a cell, where texts are given and have the question."""
+    if texts is None or question not in texts:
+        return []
+    text = texts[question]
+    names = list(dict.fromkeys(re.findall(r"\{([^{}]+)\}", text)))
+    values = F.create_map(*[x for n in names for x in (F.lit(n), F.coalesce(fills[n].cast("string"), F.lit("")))]) if names else F.create_map().cast("map<string,string>")
+    place = F.struct(source["table"].alias("table"), source["id_attribute"].alias("id_attribute"), source["id_value"].alias("id_value"), F.lit(attribute).alias("attribute"))
+    truth = F.struct(distinct_refs(refs).alias("rows"), values.alias("placeholders"), place.alias("answer_source"))
+    return [filled(text, fills).alias("t"), truth.alias("g")]
+
+
+def _record_columns(texts: Mapping[int, str] | None) -> list[Column]:
+    return [] if texts is None else [F.col("c.t").alias("question"), F.col("c.g").alias("ground_truth")]
 
 
 # Per family of join path, the question ids and the attributes they end at.
@@ -111,7 +139,12 @@ EVENT_CLUB = ((67, "country_name"), (68, "stadium_name"), (69, "domestic_competi
 EVENT_COUNTRY = ((70, "continent"), (71, "capital_city"), (72, "confederation"))
 EVENT_PLAYER = ((73, "foot"), (74, "height_in_cm"), (75, "country_of_birth"), (76, "city_of_birth"), (77, "country_of_citizenship"), (78, "date_of_birth"))
 
-COUNTRY_FIELDS = ("country_name", "continent", "capital_city", "confederation")
+COUNTRY_FIELDS = ("country_id", "country_name", "continent", "capital_city", "confederation")
+#: Prefixes of the joined rows: their table and key.
+SIDES = {
+    "p_": "players", "b_": "countries", "c_": "countries", "k_": "competitions", "kc_": "countries", "then_": "clubs", "now_": "clubs", "home__": "clubs", "away__": "clubs",
+    "home_c_": "countries", "away_c_": "countries", "e_": "clubs", "ec_": "countries",
+}
 
 
 def _prefixed(df: DataFrame, prefix: str, columns: Sequence[str]) -> DataFrame:
@@ -136,7 +169,7 @@ def join_player(df: DataFrame, catalog: Catalog, key: str, prefix: str = "p_") -
 def join_competition_country(df: DataFrame, catalog: Catalog, key: str) -> DataFrame:
     """Adds the competition (``k_``) and its country (``kc_``): by id unless that is missing, else by name."""
     comp = _prefixed(catalog.competitions, "k_", ("competition_id", "type", "sub_type", "country_id", "country_name", "confederation", "competition_code", "domestic_league_code"))
-    by_id = _prefixed(catalog.countries, "ki_", ("country_id", *COUNTRY_FIELDS))
+    by_id = _prefixed(catalog.countries, "ki_", COUNTRY_FIELDS)
     by_name = _prefixed(catalog.country_by_name(), "kn_", COUNTRY_FIELDS)
     out = df.join(comp, F.col(key) == F.col("k_competition_id"), "left").join(by_id, F.col("k_country_id") == F.col("ki_country_id"), "left")
     out = out.join(by_name, F.col("k_country_id").isNull() & (F.col("k_country_name") == F.col("kn_country_name")), "left")
@@ -144,87 +177,104 @@ def join_competition_country(df: DataFrame, catalog: Catalog, key: str) -> DataF
     return out.select("*", *[pick(c).alias(f"kc_{c}") for c in (*COUNTRY_FIELDS, "found")])
 
 
-def _cell(question: int, answer: Column, *found: Column) -> Column:
-    """Answer where everything was found; otherwise an error that names the question's missing lookup."""
-    ok = F.lit(True)
-    for f in found:
-        ok = ok & F.coalesce(f, F.lit(False))
-    return F.struct(F.lit(question).alias("q"), F.when(ok, answer.cast("string")).alias("a"), F.when(~ok, F.lit("a lookup found no row")).alias("e"))
+def _cell(question: int, answer: Column, attribute: str, *sides: str, need: Column | None = None) -> tuple:
+    """Answer from the rows joined under the given prefixes; where one is missing the answer is an error."""
+    return question, answer, attribute, sides, need
+
+
+def _answers(df: DataFrame, table: str, cells: Sequence[tuple], texts: Mapping[int, str] | None = None, **compared: Column | None) -> DataFrame:
+    key, out = KEYS[table], []
+    own = {f"{t}.{c}": F.col(c) for c in df.columns for t in (table, {v: k for k, v in ALIASES.items()}.get(table, table))}
+    fills = own | {f"{t}{c}": v for c, v in compared.items() if v is not None for t in ("", "countries.")}
+    for question, answer, attribute, sides, need in cells:
+        ok = F.lit(True) if need is None else need
+        for s in sides:
+            ok = ok & F.coalesce(F.col(f"{s}found"), F.lit(False))
+        refs = [row_ref(table, key), *[F.when(F.col(f"{s}found"), _side_ref(s)) for s in sides]]
+        parts = [F.lit(question).alias("q"), F.when(ok, answer.cast("string")).alias("a"), F.when(~ok, F.lit("a lookup found no row")).alias("e")]
+        if texts is None or question in texts:
+            out.append(F.struct(*parts, *_record(texts, question, fills, F.array(*refs), _side_ref(sides[-1]), attribute)))
+    rows = df.select(F.col(key).alias("id_value"), F.explode(F.array(*out)).alias("c"))
+    return rows.select(F.col("c.q").alias("question_id"), "id_value", F.col("c.a").alias("answer"), F.col("c.e").alias("error"), *_record_columns(texts))
 
 
-def _answers(df: DataFrame, key: str, cells: Sequence[Column]) -> DataFrame:
-    out = df.select(F.col(key).alias("id_value"), F.explode(F.array(*cells)).alias("c"))
-    return out.select(F.col("c.q").alias("question_id"), "id_value", F.col("c.a").alias("answer"), F.col("c.e").alias("error"))
+def _side_ref(side: str) -> Column:
+    key = KEYS[SIDES[side]]
+    return F.struct(F.lit(SIDES[side]).alias("table"), F.lit(key).alias("id_attribute"), F.coalesce(F.col(f"{side}{key}"), F.lit("")).alias("id_value"))
 
 
 def _same(a: str, b: str) -> Column:
     return yes_no(F.coalesce(F.col(a), F.lit("")) == F.coalesce(F.col(b), F.lit("")))
 
 
-def player_questions(catalog: Catalog) -> DataFrame:
+def player_questions(catalog: Catalog, texts: Mapping[int, str] | None = None) -> DataFrame:
     """Level 2, ids 0 to 8."""
     df = join_country_by_name(join_country_by_name(catalog.players, catalog, "country_of_birth", "b_"), catalog, "country_of_citizenship", "c_")
     side = {"birth": "b_", "citizenship": "c_"}
-    cells = [_cell(q, F.col(side[s] + a), F.col(side[s] + "found")) for q, s, a in PLAYER_COUNTRY]
-    cells += [_cell(q, _same(f"b_{a}", f"c_{a}"), F.col("b_found"), F.col("c_found")) for q, a in PLAYER_SAME]
-    return _answers(df, "player_id", cells)
+    cells = [_cell(q, F.col(side[s] + a), a, side[s]) for q, s, a in PLAYER_COUNTRY]
+    cells += [_cell(q, _same(f"b_{a}", f"c_{a}"), a, "b_", "c_") for q, a in PLAYER_SAME]
+    return _answers(df, "players", cells, texts)
 
 
-def club_questions(catalog: Catalog, capital: Column | None = None, confederation: Column | None = None) -> DataFrame:
+def club_questions(catalog: Catalog, texts: Mapping[int, str] | None = None, capital: Column | None = None, confederation: Column | None = None) -> DataFrame:
     """Level 2, ids 9 to 26; the compared capital and confederation are the found country's own unless given."""
     df = join_competition_country(join_country_by_name(catalog.clubs, catalog, "country_name", "c_"), catalog, "domestic_competition_id")
-    cells = [_cell(q, F.col(f"c_{a}"), F.col("c_found")) for q, a in CLUB_COUNTRY]
-    cells += [_cell(q, F.col(f"k_{a}"), F.col("k_found")) for q, a in CLUB_COMPETITION]
-    cells += [_cell(q, F.col(f"kc_{a}"), F.col("kc_found")) for q, a in CLUB_COMPETITION_COUNTRY]
-    return _answers(df, "club_id", cells + _compared(24, capital, confederation))
+    cells = [_cell(q, F.col(f"c_{a}"), a, "c_") for q, a in CLUB_COUNTRY]
+    cells += [_cell(q, F.col(f"k_{a}"), a, "k_") for q, a in CLUB_COMPETITION]
+    cells += [_cell(q, F.col(f"kc_{a}"), a, "k_", "kc_") for q, a in CLUB_COMPETITION_COUNTRY]
+    given = _given(capital, confederation)
+    return _answers(df, "clubs", cells + _compared(24, given), texts, **given)
+
+
+def _given(capital: Column | None, confederation: Column | None = None) -> dict[str, Column]:
+    own = lambda v, c: F.col(f"kc_{c}") if v is None else v
+    return {"capital_city": own(capital, "capital_city"), "confederation": own(confederation, "confederation")}
 
 
-def _compared(first: int, capital: Column | None, confederation: Column | None = None, both: bool = True) -> list[Column]:
-    own = lambda given, c: F.col(f"kc_{c}") if given is None else given
-    eq = lambda a, b: yes_no(F.coalesce(a, F.lit("")) == F.coalesce(b, F.lit("")))
-    found = F.col("kc_found")
-    cells = [_cell(first, yes_no(F.col("kc_continent") == "Europe"), found), _cell(first + 1, eq(F.col("kc_capital_city"), own(capital, "capital_city")), found)]
-    return [*cells, _cell(first + 2, eq(F.col("kc_confederation"), own(confederation, "confederation")), found)] if both else cells
+def _compared(first: int, given: Mapping[str, Column], both: bool = True) -> list[tuple]:
+    cells = [_cell(first, yes_no(F.col("kc_continent") == "Europe"), "continent", "k_", "kc_")]
+    for n, c in enumerate(("capital_city", "confederation") if both else ("capital_city",), 1):
+        cells.append(_cell(first + n, yes_no(F.coalesce(F.col(f"kc_{c}"), F.lit("")) == F.coalesce(given[c], F.lit(""))), c, "k_", "kc_"))
+    return cells
 
 
-def appearance_questions(catalog: Catalog) -> DataFrame:
+def appearance_questions(catalog: Catalog, texts: Mapping[int, str] | None = None) -> DataFrame:
     """Level 2, ids 27 to 45."""
-    rows = catalog.once("appearances", "appearance_id", "player_id", "player_club_id", "player_current_club_id")
+    rows = catalog.once("appearances", "appearance_id", "player_id", "player_club_id", "player_current_club_id", *(["game_id"] if texts else []))
     df = join_player(rows, catalog, "player_id")
     df = join_country_by_name(join_country_by_name(df, catalog, "p_country_of_birth", "b_"), catalog, "p_country_of_citizenship", "c_")
     df = join_club(join_club(df, catalog, "player_club_id", "then_"), catalog, "player_current_club_id", "now_")
     side = {"birth": "b_", "citizenship": "c_", "player_club_id": "then_", "player_current_club_id": "now_"}
-    p = F.col("p_found")
-    cells = [_cell(q, F.col(f"p_{a}"), p) for q, a in APPEARANCE_PLAYER]
-    cells.append(_cell(33, age_on(F.col("p_date_of_birth"), F.lit(AGE_DAY).cast("date")), p, F.col("p_date_of_birth").isNotNull()))
-    cells += [_cell(q, F.col(side[s] + a), p, F.col(side[s] + "found")) for q, s, a in APPEARANCE_COUNTRY]
-    cells += [_cell(q, F.col(side[s] + a), F.col(side[s] + "found")) for q, s, a in APPEARANCE_CLUB]
-    return _answers(df, "appearance_id", cells)
+    cells = [_cell(q, F.col(f"p_{a}"), a, "p_") for q, a in APPEARANCE_PLAYER]
+    born = F.col("p_date_of_birth")
+    cells.append(_cell(33, age_on(born, F.lit(AGE_DAY).cast("date")), "date_of_birth", "p_", need=born.isNotNull()))
+    cells += [_cell(q, F.col(side[s] + a), a, "p_", side[s]) for q, s, a in APPEARANCE_COUNTRY]
+    cells += [_cell(q, F.col(side[s] + a), a, side[s]) for q, s, a in APPEARANCE_CLUB]
+    return _answers(df, "appearances", cells, texts)
 
 
-def game_questions(catalog: Catalog, capital: Column | None = None) -> DataFrame:
+def game_questions(catalog: Catalog, texts: Mapping[int, str] | None = None, capital: Column | None = None) -> DataFrame:
     """Level 2, ids 46 to 66."""
     df = join_club(join_club(catalog.games, catalog, "home_club_id", "home__"), catalog, "away_club_id", "away__")
     df = join_country_by_name(join_country_by_name(df, catalog, "home__country_name", "home_c_"), catalog, "away__country_name", "away_c_")
     df = join_competition_country(df, catalog, "competition_id")
-    h, a_ = F.col("home__found"), F.col("away__found")
-    hc, ac = F.col("home_c_found"), F.col("away_c_found")
-    cells = [_cell(q, F.col(f"{s}__{a}"), F.col(f"{s}__found")) for q, s, a in GAME_CLUB]
-    cells += [_cell(q, _same(f"home__{a}", f"away__{a}"), h, a_) for q, a in GAME_SAME]
-    cells += [_cell(q, F.col(f"{s}_c_{a}"), F.col(f"{s}_c_found")) for q, s, a in GAME_COUNTRY]
-    cells += [_cell(q, _same(f"home_c_{a}", f"away_c_{a}"), hc, ac) for q, a in GAME_SAME_COUNTRY]
-    cells += [_cell(q, F.col(f"kc_{a}"), F.col("kc_found")) for q, a in GAME_COMPETITION_COUNTRY]
-    return _answers(df, "game_id", cells + _compared(65, capital, both=False))
+    cells = [_cell(q, F.col(f"{s}__{a}"), a, f"{s}__") for q, s, a in GAME_CLUB]
+    cells += [_cell(q, _same(f"home__{a}", f"away__{a}"), a, "home__", "away__") for q, a in GAME_SAME]
+    cells += [_cell(q, F.col(f"{s}_c_{a}"), a, f"{s}__", f"{s}_c_") for q, s, a in GAME_COUNTRY]
+    cells += [_cell(q, _same(f"home_c_{a}", f"away_c_{a}"), a, "home__", "away__", "home_c_", "away_c_") for q, a in GAME_SAME_COUNTRY]
+    cells += [_cell(q, F.col(f"kc_{a}"), a, "k_", "kc_") for q, a in GAME_COMPETITION_COUNTRY]
+    given = _given(capital)
+    return _answers(df, "games", cells + _compared(65, given, both=False), texts, **given)
 
 
-def event_questions(catalog: Catalog) -> DataFrame:
+def event_questions(catalog: Catalog, texts: Mapping[int, str] | None = None) -> DataFrame:
     """Level 2, ids 67 to 78."""
-    df = join_club(catalog.once("game_events", "game_event_id", "club_id", "player_id"), catalog, "club_id", "k_")
-    df = join_player(join_country_by_name(df, catalog, "k_country_name", "kc_"), catalog, "player_id")
-    cells = [_cell(q, F.col(f"k_{a}"), F.col("k_found")) for q, a in EVENT_CLUB]
-    cells += [_cell(q, F.col(f"kc_{a}"), F.col("kc_found")) for q, a in EVENT_COUNTRY]
-    cells += [_cell(q, F.col(f"p_{a}"), F.col("p_found")) for q, a in EVENT_PLAYER]
-    return _answers(df, "game_event_id", cells)
+    df = join_club(catalog.once("game_events", "game_event_id", "club_id", "player_id"), catalog, "club_id", "e_")
+    df = join_player(join_country_by_name(df, catalog, "e_country_name", "ec_"), catalog, "player_id")
+    cells = [_cell(q, F.col(f"e_{a}"), a, "e_") for q, a in EVENT_CLUB]
+    cells += [_cell(q, F.col(f"ec_{a}"), a, "e_", "ec_") for q, a in EVENT_COUNTRY]
+    cells += [_cell(q, F.col(f"p_{a}"), a, "p_") for q, a in EVENT_PLAYER]
+    return _answers(df, "game_events", cells, texts)
 
 
 LEVEL_2 = {"players": player_questions, "clubs": club_questions, "appearances": appearance_questions, "games": game_questions, "game_events": event_questions}

@@ -63,9 +63,9 @@ def with_stable_ids(new: DataFrame, old: DataFrame | None) -> DataFrame:
     match = F.col("_k") == F.col("_j")
     for c in SIGNATURE:
         match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    joined = a.join(b, match, "left").crossJoin(old.agg((F.coalesce(F.max("question_id"), F.lit(-1)) + 1).alias("_next")))  # one row
+    following = old.agg(F.coalesce(F.max("question_id"), F.lit(-1)) + 1).scalar()
     fresh = F.row_number().over(Window.partitionBy(F.col("_old").isNull()).orderBy("question_id")) - 1
-    return joined.withColumn("_id", F.coalesce("_old", F.col("_next") + fresh).cast("int")).select(F.col("_id").alias("question_id"), *SIGNATURE)
+    return a.join(b, match, "left").withColumn("_fresh", fresh).withColumn("_id", F.coalesce("_old", following + F.col("_fresh")).cast("int")).select(F.col("_id").alias("question_id"), *SIGNATURE)
 
 
 def _unbraced(text: str) -> str:

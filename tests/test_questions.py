@@ -59,3 +59,36 @@ def test_unknown_destination_is_an_error_and_not_an_answer(spark):
     c = catalog(spark, transfers=[*ROWS["transfers"], ("1", "2025-06-01", "24/25", "11", "77", "A-Two", "?", "Ann")])
     got = {r["question_id"]: (r["answer"], r["error"]) for r in Analytics(c, seeds_frame(spark, [SEED_A])).destination_answers().collect()}
     assert all(a is None and e for a, e in got.values())
+
+
+def test_records_of_lookups(spark):
+    c = catalog(spark)
+    texts = {0: "What country was {players.name} born in?", 10: "Is {players.name} right-footed?", 30: "Is {players.name}'s height exactly {height_in_cm} cm?"}
+    rows = {(r["question_id"], r["id_value"]): r for r in level_1_answers(c, "players", texts).collect()}
+    assert set(rows) == {(q, i) for q in texts for i in "12"}
+    r = rows[0, "1"]
+    assert (r["question"], r["answer"], r["explanation"]) == ("What country was Ann born in?", "Alphaland", "players.country_of_birth is Alphaland.")
+    assert r["ground_truth"]["placeholders"] == {"players.name": "Ann"} and [tuple(x) for x in r["ground_truth"]["rows"]] == [("players", "player_id", "1")]
+    assert tuple(r["ground_truth"]["answer_source"]) == ("players", "player_id", "1", "country_of_birth")
+    texts = {21: "What continent is the country of {clubs.name}'s domestic competition in?", 25: "Does the country of {clubs.name}'s domestic competition have {countries.capital_city} as its listed capital?"}
+    rows = {(r["question_id"], r["id_value"]): r for r in LEVEL_2["clubs"](c, texts).collect()}
+    r = rows[21, "30"]
+    assert r["answer"] == "Asia" and [tuple(x) for x in r["ground_truth"]["rows"]] == [("clubs", "club_id", "30"), ("competitions", "competition_id", "G1"), ("countries", "country_id", "3")]
+    assert rows[25, "10"]["question"] == "Does the country of A-One's domestic competition have Acity as its listed capital?"
+    texts = {27: "Which foot does the player prefer in game {appearance.game_id}?"}
+    assert LEVEL_2["appearances"](c, texts).first()["question"] == "Which foot does the player prefer in game 500?"
+
+
+def test_records_of_analytics(spark):
+    texts = {
+        2: "How many of {transfers.player_name}'s transfers went to {countries.country_name}?", 10: "During season {transfers.transfer_season}, how many countries for {transfers.player_name}?",
+        38: "On {target_date}, did {transfers.player_name}'s club have more than {clubs.stadium_seats} seats?", 64: "After {transfers.player_name}'s transfer on {transfers.transfer_date}?",
+        68: "How old was {transfers.player_name}?", 72: "After {transfers.to_club_name}, in {countries.country_name}?", 78: "Was {other_player_name} there?", 25: "In game {game_events.game_id}, {game_events.type}?",
+    }
+    a = Analytics(catalog(spark), seeds_frame(spark, [SEED_A, {"seed_id": "B", "game_id": "500"}]), texts)
+    got = {r["question_id"]: (r["question"], r["operation"]) for r in a.all_answers().collect() if r["question_id"] in texts}
+    assert got == {
+        2: ("How many of Ann's transfers went to Betaland?", "count_matches_placeholder"), 10: ("During season 23/24, how many countries for Ann?", "count_distinct_in_season"),
+        38: ("On 2024-03-01, did Ann's club have more than 3000 seats?", "greater_than"), 64: ("After Ann's transfer on 2023-07-01?", "compare"), 68: ("How old was Ann?", "age_on_date"),
+        72: ("After B-One, in Betaland?", "count_matches_placeholder"), 78: ("Was Bob there?", "exists_overlap_with_placeholder_player"), 25: ("In game 500, Goals?", "count_matches_fixed_europe"),
+    }
