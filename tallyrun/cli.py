@@ -26,7 +26,7 @@ def _parser() -> argparse.ArgumentParser:
     stage("perturb", input=needed, output=needed, seed={"default": "42"})
     stage("sample", input=needed, output=needed, player=needed, contrast={"type": int, "default": 3})
     stage("templates", input=needed, output=needed, existing={})
-    stage("questions", input=needed, output=needed, level={"type": int, "choices": (1, 2, 3), "required": True}, target_date={"default": None})
+    stage("questions", input=needed, output=needed, level={"type": int, "choices": (1, 2, 3), "required": True}, target_date={"default": None}, templates={}, seeds={})
     stage("compare", first=needed, second=needed, output=needed)
     return p
 
@@ -67,19 +67,38 @@ def main(argv: list[str] | None = None) -> int:
         sinks.save_csv(t.with_stable_ids(new, old), a.output, ["question_id"], quoted=True)
         counts = {a.output: new.count()}
     elif a.stage == "questions":
-        from tallyrun.plans.analytics import Analytics
-        from tallyrun.plans.catalog import Catalog
+        from tallyrun.plans import templates as t
+        from tallyrun.plans.analytics import SEED_FIELDS, Analytics, seeds_frame
+        from tallyrun.plans.catalog import KEYS, Catalog
         from tallyrun.plans.lookups import LEVEL_1, LEVEL_2, level_1_answers
 
         c = Catalog.of(files.read_tables(spark, a.input))
+        texts = None
+        if a.templates:
+            texts = {r["question_id"]: r["question"] for r in spark.read.schema(t.TEMPLATE_SCHEMA).options(header=True, escape='"').csv(a.templates).toLocalIterator()}
+        seeds = t.parse_seeds(t.read_text(a.seeds)) if a.seeds else None
         if a.level == 3:
-            players = c.transfers.select(F.col("player_id").alias("seed_id"), "player_id", F.lit(a.target_date).alias("target_date")).distinct()
-            out = Analytics(c, players).all_answers()
+            if seeds:
+                given = [t.seed_fields(s, SEED_FIELDS) for _, s in seeds]
+                subjects = seeds_frame(spark, [{"target_date": a.target_date, **g, "seed_id": str(i)} for i, g in enumerate(given)])
+            else:
+                subjects = c.transfers.select(F.col("player_id").alias("seed_id"), "player_id", F.lit(a.target_date).alias("target_date")).distinct()
+            out = Analytics(c, subjects, texts).all_answers()
         else:
-            parts = [level_1_answers(c, t) for t in LEVEL_1] if a.level == 1 else [f(c) for f in LEVEL_2.values()]
+            wanted = t.seed_ids(seeds, KEYS) if seeds is not None else None
+            make = {n: (lambda n=n: level_1_answers(c, n, texts)) for n in LEVEL_1} if a.level == 1 else {n: (lambda f=f: f(c, texts)) for n, f in LEVEL_2.items()}
+            parts = []
+            for name, f in make.items():
+                ids = [v for n, v in wanted if n == name] if wanted is not None else None
+                if ids != []:
+                    parts.append(f() if ids is None else f().filter(F.col("id_value").isin(ids)))
+            if not parts:
+                raise SystemExit("no seed names a row of this level's tables")
             out = parts[0]
             for more in parts[1:]:
-                out = out.unionByName(more)
+                out = out.unionByName(more, allowMissingColumns=True)
+        if texts is not None:
+            out = out.filter("question IS NOT NULL").withColumn("level", F.lit(f"level_{a.level}"))
         counts = {a.output: sinks.save_json_array(out, a.output)}
     else:
         from tallyrun.plans.compare import DOC_SCHEMA, match_sets, report, summarise

@@ -53,35 +53,50 @@ def aliased(key: Column, aliases: Mapping[str, str] = COUNTRY_ALIASES) -> Column
     return F.coalesce(F.try_element_at(pairs, key), key)
 
 
+def _number(df: DataFrame, c: str) -> Column:
+    """A column's whole number; one that is a number already stays bare, so that filters reach the scan."""
+    return F.col(c) if dict(df.dtypes)[c] in ("tinyint", "smallint", "int", "bigint") else whole_number(c)
+
+
+def _day(df: DataFrame, c: str) -> Column:
+    return F.col(c) if dict(df.dtypes)[c] == "date" else lenient_date(c)
+
+
 def projected(raw: DataFrame, name: str) -> DataFrame:
     """The table's columns, coerced: ids and numbers as integer text, dates as ISO text, texts trimmed."""
     require_columns(raw, COLUMNS[name], name)
-    pick = []
+    kinds, pick = dict(raw.dtypes), []
     for c in COLUMNS[name]:
-        e = integer_text(c) if c in ID_COLUMNS or c in NUMBERS else iso_date(c) if c in DATES else trimmed(F.col(c).cast("string"))
+        if kinds[c] in ("tinyint", "smallint", "int", "bigint"):
+            e = F.col(c).cast("string")
+        elif kinds[c] == "date":
+            e = F.date_format(c, "yyyy-MM-dd")
+        else:
+            e = integer_text(c) if c in ID_COLUMNS or c in NUMBERS else iso_date(c) if c in DATES else trimmed(F.col(c).cast("string"))
         pick.append(e.alias(c))
     return raw.select(*pick)
 
 
 def in_window(df: DataFrame, column: str, first: str = FIRST_DAY, last: str = LAST_DAY) -> DataFrame:
-    return df.filter(lenient_date(column).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    """Rows of the days from ``first`` to ``last``; on raw columns, before projection, so that the scan can filter."""
+    return df.filter(_day(df, column).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
 
 
 def clean_players(raw: DataFrame, first_season: int = FIRST_SEASON) -> DataFrame:
-    return projected(raw, "players").filter(whole_number("last_season") >= first_season)
+    return projected(raw.filter(_number(raw, "last_season") >= first_season), "players")
 
 
 def clean_transfers(raw: DataFrame, players: DataFrame | None = None) -> DataFrame:
-    rows = in_window(projected(raw, "transfers"), "transfer_date")
+    rows = projected(in_window(raw, "transfer_date"), "transfers")
     return rows if players is None else null_tolerant_semi(rows, players, "player_id", ["player_id"])
 
 
 def clean_games(raw: DataFrame, first: int = FIRST_SEASON, last: int = LAST_SEASON) -> DataFrame:
-    return in_window(projected(raw, "games").filter(whole_number("season").between(first, last)), "date")
+    return projected(in_window(raw.filter(_number(raw, "season").between(first, last)), "date"), "games")
 
 
 def clean_game_events(raw: DataFrame, games: DataFrame, players: DataFrame) -> DataFrame:
-    rows = in_window(projected(raw, "game_events"), "date")
+    rows = projected(in_window(raw, "date"), "game_events")
     rows = rows.join(games.select("game_id").distinct(), "game_id", "left_semi").select(*COLUMNS["game_events"])
     return null_tolerant_semi(rows, players, "player_id", ["player_id", "player_in_id", "player_assist_id"])
 

@@ -33,7 +33,10 @@ NUMBERS = {"last_season", "height_in_cm", "stadium_seats", "season", "home_club_
 
 def canonical(df: DataFrame, name: str) -> DataFrame:
     """The table's columns with canonical ids, real dates and numbers, trimmed texts."""
-    return df.select(*(["row_index"] if "row_index" in df.columns else []), *canonical_columns(name))
+    kinds = dict(df.dtypes)
+    ready = {c for c in COLUMNS[name] if (c in DATES and kinds.get(c) == "date") or (c in NUMBERS and kinds.get(c) == "int")}
+    columns = [F.col(c) if c in ready else e for c, e in zip(COLUMNS[name], canonical_columns(name), strict=True)]
+    return df.select(*(["row_index"] if "row_index" in df.columns else []), *columns)
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: str) -> DataFrame:

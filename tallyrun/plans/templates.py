@@ -117,3 +117,25 @@ def filled(template: str, values: dict[str, Column]) -> Column:
 
 def read_text(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
+
+
+def seed_fields(seed: dict[str, str], known: Sequence[str]) -> dict[str, str]:
+    """A seed's values by bare column name; the first non-blank of qualified and bare keys holds."""
+    out: dict[str, str] = {}
+    for key, value in seed.items():
+        name = key.split(".", 1)[-1]
+        if value.strip() and name in known:
+            out.setdefault(name, value.strip())
+    return out
+
+
+def seed_ids(seeds: Sequence[tuple[str, dict[str, str]]], keys: dict[str, str]) -> list[tuple[str, str]]:
+    """``(table, id)`` of the row that each seed names: by the key of its first table."""
+    out = []
+    for tables, seed in seeds:
+        first = tables.split("; ")[0]
+        table = {"appearance": "appearances"}.get(first, first)
+        key = keys.get(table, "")
+        if value := seed.get(f"{first}.{key}") or seed.get(f"{table}.{key}") or seed.get(key):
+            out.append((table, value))
+    return out

@@ -166,5 +166,12 @@ def test_files(spark, tmp_path):
 
     assert main(["questions", "--input", str(tmp_path / "tables"), "--output", str(tmp_path / "q.json"), "--level", "3"]) == 0
     assert len(json.loads((tmp_path / "q.json").read_text())) > 100
+    (tmp_path / "raw.txt").write_text("# players\nWhere was {players.name} born? (players.country_of_birth)\n")
+    (tmp_path / "seeds.txt").write_text("# players\nplayers.player_id: 1\n")
+    assert main(["templates", "--input", str(tmp_path / "raw.txt"), "--output", str(tmp_path / "level_1.csv")]) == 0
+    assert (tmp_path / "level_1.csv").read_text().splitlines()[0] == '"question_id","question","num_tables","tables","attributes"'
+    assert main(["questions", "--input", str(tmp_path / "tables"), "--output", str(tmp_path / "q1.json"), "--level", "1", "--templates", str(tmp_path / "level_1.csv"), "--seeds", str(tmp_path / "seeds.txt")]) == 0
+    record = json.loads((tmp_path / "q1.json").read_text())
+    assert [(r["question"], r["answer"], r["level"], r["ground_truth"]["answer_source"]["attribute"]) for r in record] == [("Where was Ann born?", "Alphaland", "level_1", "country_of_birth")]
     assert main(["perturb", "--input", str(tmp_path / "tables"), "--output", str(tmp_path / "changed")]) == 0
     assert main(["sample", "--input", str(tmp_path / "tables"), "--output", str(tmp_path / "sample"), "--player", "ann"]) == 0
