@@ -71,16 +71,19 @@ def main(argv: list[str] | None = None) -> int:
         from tallyrun.plans.analytics import SEED_FIELDS, Analytics, seeds_frame
         from tallyrun.plans.catalog import KEYS, Catalog
         from tallyrun.plans.lookups import LEVEL_1, LEVEL_2, level_1_answers
+        from tallyrun.plans.seeds import default_event_seed, default_transfer_seed
 
         c = Catalog.of(files.read_tables(spark, a.input))
         texts = None
         if a.templates:
             texts = {r["question_id"]: r["question"] for r in spark.read.schema(t.TEMPLATE_SCHEMA).options(header=True, escape='"').csv(a.templates).toLocalIterator()}
-        seeds = t.parse_seeds(t.read_text(a.seeds)) if a.seeds else None
+        seeds = t.parse_seeds(t.read_text(a.seeds)) if a.seeds and a.seeds != "default" else None
         if a.level == 3:
             if seeds:
                 given = [t.seed_fields(s, SEED_FIELDS) for _, s in seeds]
                 subjects = seeds_frame(spark, [{"target_date": a.target_date, **g, "seed_id": str(i)} for i, g in enumerate(given)])
+            elif a.seeds == "default":
+                subjects = default_transfer_seed(c).unionByName(default_event_seed(c).withColumn("seed_id", F.lit("default event")))
             else:
                 subjects = c.transfers.select(F.col("player_id").alias("seed_id"), "player_id", F.lit(a.target_date).alias("target_date")).distinct()
             out = Analytics(c, subjects, texts).all_answers()

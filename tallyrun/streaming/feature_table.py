@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tallyrun.session import is_directory, remove_path, scratch_path
 from tallyrun.sources.tables import table_path
 
+#: Input of one micro-batch where the caller sets no bound of their own.
+BATCH_BYTES = str(64 << 30)
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -106,6 +108,8 @@ def build_feature_table(spark: SparkSession, folder: str, sources: Sequence[Even
     new.  ``options`` go to the stream's reader (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
     """
     root = state or scratch_path(spark, "features")
+    if not {"maxFilesPerTrigger", "maxBytesPerTrigger"} & set(options):
+        options["maxBytesPerTrigger"] = BATCH_BYTES
     events = None
     for s in sources:
         one = as_events(stream_table(spark, folder, s.table, **options), s, measures)

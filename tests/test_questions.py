@@ -92,3 +92,16 @@ def test_records_of_analytics(spark):
         38: ("On 2024-03-01, did Ann's club have more than 3000 seats?", "greater_than"), 64: ("After Ann's transfer on 2023-07-01?", "compare"), 68: ("How old was Ann?", "age_on_date"),
         72: ("After B-One, in Betaland?", "count_matches_placeholder"), 78: ("Was Bob there?", "exists_overlap_with_placeholder_player"), 25: ("In game 500, Goals?", "count_matches_fixed_europe"),
     }
+
+
+def test_default_seeds(spark):
+    from tallyrun.plans.seeds import default_event_seed, default_transfer_seed, event_games
+
+    c = catalog(spark)
+    t = default_transfer_seed(c).first()
+    assert (t["player_id"], t["transfer_date"], t["country_name"], t["stadium_seats"], t["target_date"]) == ("1", "2023-07-01", "Betaland", "3000", "2023-07-01")
+    e = default_event_seed(c).first()
+    assert (e["game_id"], e["country_name"], e["capital_city"]) == ("500", "Alphaland", "Acity")
+    given = spark.createDataFrame([("a", "e3"), ("b", "500")], "seed_id string, event_ref string")
+    assert {r["seed_id"]: r["game_id"] for r in event_games(c, given).collect()} == {"a": "500", "b": "500"}
+    assert default_transfer_seed(catalog(spark, appearances=[("x", "1", "9", "10", "10", "2020-01-01", "", "A1", "", "", "", "", "")])).count() == 0
