@@ -178,6 +178,7 @@ def map_to_list(values: DataFrame, entries: DataFrame, block: int = BLOCK) -> Da
     """
     spark = values.sparkSession
     exact = values.groupBy("value").agg(F.sum("n").alias("n"))
+    entries = entries.select("list_id", "canonical_name", "other_names", "short_code")
     weighted = entries.join(exact, entries["canonical_name"] == exact["value"], "left").select("list_id", "canonical_name", "other_names", "short_code", F.coalesce("n", F.lit(0)).alias("weight"))
     blocks = max(1, -(-entries.count() // block))
     distinct = exact.select("value")

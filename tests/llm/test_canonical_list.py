@@ -44,7 +44,7 @@ def test_distance():
 
 
 def test_map_to_list_in_blocks_and_of_empty_tables(spark):
-    schema = "list_id int, canonical_name string, other_names string, short_code string, extra string"
+    schema = "list_id int, canonical_name string, other_names string, short_code string, n string"
     entries = spark.createDataFrame([(*e[:4], "x") for e in ENTRIES], schema)
     values = spark.createDataFrame([("Quirtora", 3), ("Quirtorra", 1), ("Quirtorra", 2), ("nowhere at all", 1)], "value string, n long")
     want = {"Quirtora": 1, "Quirtorra": 1, "nowhere at all": MISS}
