@@ -36,8 +36,8 @@ from tallyrun.llm.spread import spread
 from tallyrun.llm.text import plain
 
 MOST_SAMPLES = 50_000
-#: Words of a feature, words that a frame reaches, and the score of an ordinary word.
-LONGEST, REACH, DRIFT = 5, 14, -0.5
+#: Words that a frame reaches, and the score of an ordinary word.
+REACH, DRIFT = 14, -0.5
 #: Documents that the corpus' prior counts for, least count, least and most log-odds of a learnt feature.
 PRIOR, LEARN_FROM, LEAST_LEARNT, MOST_LEARNT = 100.0, 3, 1.5, 3.0
 #: A document is flagged when ordinary text of its length (at least so many words) would score so at most this often.
@@ -105,10 +105,11 @@ def word_lists(prior: dict[tuple[str, ...], float], reports: set[tuple[str, ...]
     return {w for f in [*prior, *reports] for w in f}, {f[0] for f, s in prior.items() if len(f) == 1 and s >= STRONG}
 
 
-def features(tokens: Sequence[str], wanted: set[tuple[str, ...]], longest: int = LONGEST) -> Iterator[tuple[int, tuple[str, ...]]]:
-    """``(place of the last word, words)`` of every wanted feature in the tokens."""
+def features(tokens: Sequence[str], wanted: set[tuple[str, ...]]) -> Iterator[tuple[int, tuple[str, ...]]]:
+    """``(place of the last word, words)`` of every wanted feature in the tokens, however many words it has."""
     n = len(tokens)
     first = {w[0] for w in wanted}
+    longest = max(map(len, wanted), default=0)
     for i in range(n):
         if tokens[i] in first:
             for k in range(1, min(longest, n - i) + 1):

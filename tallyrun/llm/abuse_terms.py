@@ -1,6 +1,6 @@
 """Prior knowledge of abusive language: terms per kind and language, and frames that take their force.
 
-Fixed values.  A term is one to five folded words; ``|`` parts alternatives of a word.  The first element of each entry
+Fixed values.  A term is one or more folded words; ``|`` parts alternatives of a word.  The first element of each entry
 is the prior log-odds that the term stands for abuse rather than ordinary text.
 """
 

@@ -80,3 +80,13 @@ def test_spelling_is_undone():
     for text, word in (("w-a-n-k-e-r", "wanker"), ("m o r o n", "moron"), ("1d107", "idiot"), ("moooron", "moron"), ("w***e", "whore"), ("lwolife", "lowlife"), ("сunt", "cunt"), ("WANKER", "wanker"), ("afuckingparasite", "parasite")):
         assert word in s.tokens(text), text
     assert s.tokens("Cedro and 1. FC Cockermoor") == ["cedro", "and", "1", A.END, "fc", "cockermoor"]
+
+
+def test_every_term_and_frame_is_found_in_its_own_text():
+    prior, reports = prior_terms(), set(report_terms())
+    s = Speller(*word_lists(prior, reports))
+    for wanted in (set(prior), reports):
+        for f in wanted:
+            text = s.tokens("so " + " ".join(f) + " then")
+            assert f in {g for _, g in A.features(text, wanted)}, f
+    assert max(map(len, prior)) > 5
