@@ -3,8 +3,11 @@
 Method: every token has a log-odds score, abuse against ordinary text, whose Dirichlet priors come from a lexicon in four
 languages and from the whole corpus' counts and which the judged samples update.  A linear-time scan finds the
 maximum-scoring segments of each text.  Scores are calibrated by extreme-value statistics: among ``n`` ordinary tokens
-the best segment exceeds ``s`` about ``K n exp(-lambda s)`` times, with ``lambda`` solved from the token scores' own
-distribution and ``K`` from the corpus' own scores.  A document's score is minus the logarithm of that number.
+segments exceed ``s`` about ``K n exp(-lambda s)`` times, with ``lambda`` solved from the token scores' own distribution
+and ``K`` from the corpus' own scores.  Every segment is held against a neighbourhood of ``NEIGHBOURHOOD`` words, however
+long the text; those that are significant there are kept, and a sum statistic over the best r of them, for the r that says
+most, gives how often such a neighbourhood would have them by chance.  A document's score is minus the logarithm of that
+number: further passages never lower it, and the text's length by itself changes nothing.
 
 Spelling is undone before scoring: damaged encoding, markup, look-alike letters, spaced-out and starred words, digits for
 letters, drawn-out and swapped letters.  Terms inside a frame that reports, quotes or punishes them (within a sentence)
@@ -40,8 +43,8 @@ MOST_SAMPLES = 50_000
 REACH, DRIFT = 14, -0.5
 #: Documents that the corpus' prior counts for, least count, least and most log-odds of a learnt feature.
 PRIOR, LEARN_FROM, LEAST_LEARNT, MOST_LEARNT = 100.0, 3, 1.5, 3.0
-#: A document is flagged when ordinary text of its length (at least so many words) would score so at most this often.
-EXPECTED, LEAST_WORDS = 0.5, 300
+#: A segment is significant, and its document flagged, when so many words of ordinary text have one at most this often.
+EXPECTED, NEIGHBOURHOOD = 0.5, 300
 #: Prior log-odds from which a single word is a strong term.
 STRONG = 7.0
 LATTICE = 0.5
@@ -172,19 +175,48 @@ class Model:
                     k += step
         return out
 
-    def best(self, text: str | None) -> tuple[float, int, str]:
-        """Best segment's score, the number of words, and the segment's words."""
+    def judge(self, text: str | None) -> tuple[float, float, str, list[str]]:
+        """Score, expected number in ordinary text, best segment, and all significant segments in the text's order."""
         tokens = self.speller.tokens(text) if text else []
-        found = max(maximal_segments(self.token_scores(tokens)), default=(0.0, 0, 0))
-        return found[0], sum(t != END for t in tokens), " ".join(tokens[found[1] : found[2]]).replace(END, "/")
-
-    def judge(self, text: str | None) -> tuple[float, float, str]:
-        """Score, expected number in ordinary text, and segment of a text."""
-        best, n, segment = self.best(text)
-        if best <= 0:
-            return 0.0, float(max(n, LEAST_WORDS)), ""
-        expected = self.scale * max(n, LEAST_WORDS) * math.exp(-self.decay * best)
-        return max(0.0, -math.log(max(expected, 1e-300))), expected, segment
+        segments = maximal_segments(self.token_scores(tokens))
+        best = max(segments, default=(0.0, 0, 0))
+        if best[0] <= 0:
+            return 0.0, float(NEIGHBOURHOOD), "", []
+        by_chance = math.log(self.scale * NEIGHBOURHOOD)
+        kept = [s for s in segments if self.decay * s[0] - by_chance >= -math.log(EXPECTED)]
+        strengths = [self.decay * s[0] - by_chance for s in kept or [best]]
+        log_expected = log_expected_sets(strengths) if kept else -strengths[0]
+        said = lambda s: " ".join(tokens[s[1] : s[2]]).replace(END, "/")
+        return max(0.0, -log_expected), math.exp(log_expected), said(best), [said(s) for s in kept]
+
+
+def log_erlang_tail(r: int, u: float) -> float:
+    """Logarithm of ``exp(-u) * sum of u^k / k! over k < r``, summed from the largest term outwards."""
+    if u <= 0:
+        return 0.0
+    top = min(r - 1, int(u))
+    total = 1.0
+    for step in (-1, 1):
+        k, term = top, 1.0
+        while term > 1e-14 * total and 0 <= k + step < r:
+            term *= k / u if step < 0 else u / (k + 1)
+            k += step
+            total += term
+    return min(0.0, top * math.log(u) - math.lgamma(top + 1) - u + math.log(total))
+
+
+def log_expected_sets(strengths: Sequence[float]) -> float:
+    """Logarithm of how often chance gives such significant segments, for the number r of best ones where it is rarest.
+
+    ``strengths`` are ``lambda s - ln(K n)``, ``-ln EXPECTED`` at least.  By chance those are a Poisson process of
+    intensity ``exp(-x)``, so sets of r with at least the sum T number ``EXPECTED^r / r!`` times the Erlang tail of T less
+    r times the least strength (the sum statistic of Karlin and Altschul, over significant segments).
+    """
+    least, total, found = -math.log(EXPECTED), 0.0, math.inf
+    for r, x in enumerate(sorted(strengths, reverse=True), 1):
+        total += x
+        found = min(found, -r * least - math.lgamma(r + 1) + log_erlang_tail(r, total - r * least))
+    return found
 
 
 _SETS: dict[int, set[tuple[str, ...]]] = {}
@@ -315,10 +347,10 @@ def calibrated(scores: dict[tuple[str, ...], float], reports: set[tuple[str, ...
 
 
 def score_documents(documents: DataFrame, samples: DataFrame) -> DataFrame:
-    """Columns ``doc_id, source, score, expected, segment, flagged`` for every document.
+    """Columns ``doc_id, source, score, expected, segment, segments, flagged`` for every document.
 
-    ``expected`` is how often ordinary text of the document's length has such a segment; ``score`` is minus its
-    logarithm, 0 at least; ``segment`` are the words of the best segment.
+    ``expected`` is how often ``NEIGHBOURHOOD`` words of ordinary text have such segments; ``score`` is minus its
+    logarithm, 0 at least; ``segment`` are the words of the best segment, ``segments`` those of all significant ones.
     """
     judged = samples.filter("text IS NOT NULL AND flagged IS NOT NULL").select("text", "flagged").orderBy("sample_id").limit(MOST_SAMPLES).collect()
     texts = spread(documents.select("doc_id", "source", "text"), "doc_id")
@@ -329,6 +361,6 @@ def score_documents(documents: DataFrame, samples: DataFrame) -> DataFrame:
         model = shared.value
         for b in batches:
             rows = [model.judge(t) for t in b["text"]]
-            yield b[["doc_id", "source"]].assign(score=[r[0] for r in rows], expected=[r[1] for r in rows], segment=[r[2] for r in rows], flagged=[r[1] <= EXPECTED for r in rows])
+            yield b[["doc_id", "source"]].assign(score=[r[0] for r in rows], expected=[r[1] for r in rows], segment=[r[2] for r in rows], segments=[r[3] for r in rows], flagged=[bool(r[3]) for r in rows])
 
-    return texts.mapInPandas(run, "doc_id long, source string, score double, expected double, segment string, flagged boolean")
+    return texts.mapInPandas(run, "doc_id long, source string, score double, expected double, segment string, segments array<string>, flagged boolean")

@@ -90,3 +90,34 @@ def test_every_term_and_frame_is_found_in_its_own_text():
             text = s.tokens("so " + " ".join(f) + " then")
             assert f in {g for _, g in A.features(text, wanted)}, f
     assert max(map(len, prior)) > 5
+
+
+def test_every_significant_passage_counts_and_length_alone_does_not():
+    prior = {("wanker",): 12.0, ("stupid",): 3.5}
+    model = A.Model(prior, set(), word_lists(prior), 0.5, 0.054)
+    filler = " ordinary words" * 50 + " "
+    one = model.judge("you wanker" + filler)
+    assert one[3] == ["wanker"] and model.judge("you wanker" + filler * 300) == one
+    assert model.judge("how stupid" + filler)[3] == [] and model.judge("fine" + filler)[:2] == (0.0, 300.0)
+    scores = [model.judge(("you wanker" + filler) * k + filler * 100)[0] for k in (1, 2, 3, 10, 400)]
+    assert scores == sorted(set(scores)) and scores[-1] > 1000
+    mixed = model.judge("wanker wanker" + filler + "stupid" + filler + "wanker" + filler)
+    assert mixed[2] == "wanker wanker" and mixed[3] == ["wanker wanker", "wanker"]
+    assert mixed[0] >= model.judge("wanker wanker" + filler)[0]
+
+
+def test_expected_sets_against_simulation():
+    import math
+
+    import numpy as np
+
+    assert A.log_expected_sets([3.0]) == pytest.approx(-3.0)
+    for r, u in ((1, 0.5), (3, 9.0), (8, 2.5), (40, 60.0)):
+        assert A.log_erlang_tail(r, u) == pytest.approx(math.log(math.exp(-u) * sum(u**k / math.factorial(k) for k in range(r))), abs=1e-9)
+    rng = np.random.default_rng(7)
+    least, sums, trials = -math.log(A.EXPECTED), 2.5, 200_000
+    pairs = 0
+    for n in rng.poisson(A.EXPECTED, trials):
+        x = least + rng.exponential(size=n)
+        pairs += sum(a + b >= sums for a, b in itertools.combinations(x, 2))
+    assert pairs / trials == pytest.approx(math.exp(A.log_expected_sets([sums / 2, sums / 2])), rel=0.05)
