@@ -6,8 +6,9 @@ are met.  They are ranked by a weighted Damerau-Levenshtein distance (a letter d
 key costs less), then by how often the entry is written correctly in the data.  Values that meet nothing are reported
 with ``list_id`` -1.
 
-Only distinct values are looked up.  The list is broadcast in blocks of at most ``BLOCK`` entries, the best match over
-all blocks holds; so the broadcast has a bound whatever the list's length.
+Only distinct values are looked up.  The list is broadcast in blocks of about ``BLOCK`` entries, so the broadcast has a
+bound whatever the list's length.  Each block returns its best match with its full rank, and the first in rank over all
+blocks holds: the same as one block would give.
 
 Defined results: NULL and blank values map to nothing and are not reported; of several entries named in a value the
 first one counts; equal ranks go to the more frequent entry, then the smaller id; an empty list leaves every value
@@ -29,6 +30,11 @@ from tallyrun.llm.text import plain
 BLOCK = 20_000
 #: The id of values that mean no entry.
 MISS = -1
+#: A match's rank, least first: reading (of the country named first; the whole value, if only nearly met, last), way to
+#: write it (``NEAR`` behind all exact ones), weighted distance, minus the entry's frequency, its id.
+Rank = tuple[int, int, float, int, int]
+RANK, NEAR = ("reading", "way", "distance", "rarity", "list_id"), 2**31 - 1
+NO_RANK: Rank = (0, 0, 0.0, 0, MISS)
 
 # Digits and signs written for letters, and the rows of a keyboard.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"})
@@ -135,7 +141,7 @@ class SymmetricDelete:
         self.codes: dict[str, int] = {}
         self.weight: dict[int, int] = {}
         self.deleted: dict[str, list[str]] = {}
-        for list_id, name, others, code, weight in sorted(entries):
+        for list_id, name, others, code, weight in sorted(entries, key=lambda e: (-e[4], e[0], e[1] or "")):  # of entries that share a name
             self.weight[list_id] = weight
             for n in [name, *(others or "").split("; ")]:
                 if key := letters(fold(n)) if n else "":
@@ -155,20 +161,23 @@ class SymmetricDelete:
 
     def look_up(self, value: str) -> tuple[int, float]:
         """Entry and weighted distance of a value, ``MISS`` if it names none."""
+        best = self.ranked(value)
+        return (best[-1], best[2]) if best else (MISS, 0.0)
+
+    def ranked(self, value: str) -> Rank | None:
+        """Best entry of a value with its rank, which is comparable between the blocks of a list; None if it names none."""
         ways = readings(value)
-        for group in ways:
-            for way in group:
+        for reading, group in enumerate(ways):
+            for k, way in enumerate(group):
                 if way in self.exact:
-                    return self.exact[way], 0.0
+                    return reading, 2 * k, 0.0, -self.weight[self.exact[way]], self.exact[way]
                 if (code := way.replace(" ", "")) in self.codes and len(code) <= 6:
-                    return self.codes[code], 0.0
-            if group is ways[0]:
-                continue
-            if best := min((b for way in group if (b := self.near(way))), default=None):
-                return best[2], best[0]
+                    return reading, 2 * k + 1, 0.0, -self.weight[self.codes[code]], self.codes[code]
+            if reading and (best := min((b for way in group if (b := self.near(way))), default=None)):
+                return reading, NEAR, *best
         if best := min((b for way in ways[0] if (b := self.near(way))), default=None):
-            return best[2], best[0]
-        return MISS, 0.0
+            return len(ways), NEAR, *best
+        return None
 
 
 def map_to_list(values: DataFrame, entries: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -190,12 +199,12 @@ def map_to_list(values: DataFrame, entries: DataFrame, block: int = BLOCK) -> Da
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             index = SymmetricDelete(shared.value)
             for batch in batches:
-                found = [index.look_up(v) for v in batch["value"]]
-                yield pd.DataFrame({"value": batch["value"], "list_id": [f[0] for f in found], "distance": [f[1] for f in found]})
+                found = [index.ranked(v) or NO_RANK for v in batch["value"]]
+                yield pd.DataFrame([(v, *f) for v, f in zip(batch["value"], found, strict=True)], columns=["value", *RANK])
 
-        one = distinct.mapInPandas(run, "value string, list_id int, distance double")
+        one = distinct.mapInPandas(run, "value string, reading int, way int, distance double, rarity long, list_id int")
         out = one if out is None else out.unionByName(one)
     if blocks > 1:
-        rank = F.struct((F.col("list_id") == MISS).alias("miss"), "distance", "list_id")
+        rank = F.struct((F.col("list_id") == MISS).alias("miss"), *RANK)
         out = out.groupBy("value").agg(F.min(rank).alias("r")).select("value", "r.list_id", "r.distance")
-    return out
+    return out.select("value", "list_id", "distance")

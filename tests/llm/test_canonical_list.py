@@ -53,3 +53,17 @@ def test_map_to_list_in_blocks_and_of_empty_tables(spark):
     assert map_to_list(values.limit(0), entries).count() == 0
     assert {r["list_id"] for r in map_to_list(values, entries.limit(0)).collect()} == {MISS}
     assert values.agg(F.sum("n")).first()[0] == 7
+
+
+def test_blocks_change_neither_ties_nor_the_order_of_names(spark):
+    more = [*ENTRIES, (8, "Quirtura", None, "QUI", 9), (9, "Western Belmora", "Belmora", None, 0), (10, "Eastern Belmora", "Belmora", None, 4), *[(i, f"Land {chr(97 + i % 26)}{chr(97 + i // 26)}holm", None, None, 0) for i in range(20, 60)]]
+    entries = spark.createDataFrame([e[:4] for e in more], "list_id int, canonical_name string, other_names string, short_code string")
+    typed = [(n, w) for _, n, _, _, w in more if w]
+    odd = ["Quirtxra", "Quirtxra / Dullique", "South Davia / Quirtora", "Quirtura / Quirtora", "Dulliqe / Quirtora", "Dullique; North Davia", "QTR / DDE", "DDE / QTR", "Isenlnd / Quirtera", "Theyma & Movina", "Belmora", "Belmoga", "nothing at all"]
+    values = spark.createDataFrame([*typed, *[(v, 1) for v in odd]], "value string, n long")
+    whole = SymmetricDelete(more)
+    want = {v: whole.look_up(v) for v in odd}
+    assert want["Quirtxra"][0] == 2 and want["Belmora"][0] == want["Belmoga"][0] == 10 and want["South Davia / Quirtora"][0] == 7 and want["Dulliqe / Quirtora"][0] == 5
+    for block in (20_000, 7):
+        got = {r["value"]: (r["list_id"], r["distance"]) for r in map_to_list(values, entries, block).collect()}
+        assert {v: got[v] for v in odd} == want
