@@ -36,7 +36,7 @@ def player_features(spark: SparkSession, folder: str) -> DataFrame:
     """One row per player: totals and a map from event type to its count and latest date."""
     rows = build_feature_table(spark, folder, player_event_sources(), MEASURES)
     seen = F.col("kinds")[APPEARANCE]
-    events = F.transform_keys(F.map_filter("kinds", lambda k, _: k != APPEARANCE), lambda k, _: F.substring(k, 7, 10_000))
+    events = F.transform_keys(F.map_filter("kinds", lambda k, _: k != APPEARANCE), lambda k, _: F.substring(k, F.lit(7), F.length(k)))
     totals = [F.coalesce(seen[m], F.lit(0)).cast("long").alias(m) for m in MEASURES]
     return rows.select(F.col("entity").alias("player_id"), F.coalesce(seen["n"], F.lit(0)).cast("long").alias("appearances"), seen["latest"].alias("latest_appearance"), *totals, events.alias("events"))
 

@@ -11,6 +11,7 @@ from tallyrun.operators.current import current_rows
 from tallyrun.operators.intervals import merged_periods, overlaps_and_gaps, settle_blocks
 from tallyrun.operators.orphans import Reference, key_runs, orphan_references
 from tallyrun.operators.reconcile import Pair, differences, interpolate
+from tallyrun.queries.data_problems import player_features
 from tallyrun.streaming.feature_table import EventSource, build_feature_table
 
 DAY = dt.date(1970, 1, 1)
@@ -222,3 +223,14 @@ def test_feature_table_over_several_batches_and_runs(spark, tmp_path):
 def test_feature_table_of_an_empty_stream(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "ev.parquet"))
     assert features(build_feature_table(spark, str(tmp_path), [source()], ("goals",))) == {}
+
+
+def test_event_types_of_any_length_stay_apart(spark, tmp_path):
+    long = "x" * 10_000
+    events = [(str(i), "2024-01-02", "1", 5, t, "9", "7") for i, t in enumerate((long + "a", long + "b", " " + long.upper() + "B ", "goals", None))]
+    schema = "game_event_id string, date string, game_id string, minute int, type string, club_id string, player_id string"
+    spark.createDataFrame(events, schema).withColumn("date", F.to_date("date")).write.parquet(str(tmp_path / "game_events.parquet"))
+    schema = "appearance_id string, game_id string, player_id string, date date, goals int, yellow_cards int, minutes_played int"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "appearances.parquet"))
+    row = player_features(spark, str(tmp_path)).first()
+    assert {k: v["n"] for k, v in row["events"].items()} == {long + "a": 1, long + "b": 2, "goals": 1, "": 1}
