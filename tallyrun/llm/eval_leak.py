@@ -10,8 +10,9 @@ What is retrieved is verified on the words themselves: shared word pairs are cha
 stretch counts when it is long enough and has the item's own names and figures (by weight), and the counted stretches
 must hold the wanted share of the item's words.  The answer's overlap is reported beside it.
 
-Documents are read once and never shuffled for this (but see ``spread``); the index is broadcast in blocks of at most
-``BLOCK`` items, each block is one more pass, so the broadcast is bounded however many items there are.
+Documents are read once and never shuffled for this (but see ``spread``); the index is broadcast in blocks of about
+``BLOCK`` items, each block is one more pass, so the broadcast is bounded however many items there are.  Word weights and
+lengths are taken over all items, whatever block an item is in.
 
 Defined results: NULL and empty texts carry nothing; items of fewer than ``MIN_STRETCH`` words are carried only as a
 whole; repeated items are reported each; whole texts are searched, however long.
@@ -25,7 +26,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrun.llm.spread import spread
@@ -92,17 +93,21 @@ def cheapest_stretches(cost: np.ndarray, wanted: int, least: int) -> float:
     return float(min(state[0, wanted], state[least, wanted]))
 
 
+#: Number of all items, their words together, and in how many of them each word of a block's items occurs.
+Statistics = tuple[int, int, dict[str, int]]
+
+
 class ItemIndex:
     """Inverted index of test items and the check of a document against one of them."""
 
-    def __init__(self, items: Sequence[tuple[int, str | None, str | None]], share: float = SHARE) -> None:
+    def __init__(self, items: Sequence[tuple[int, str | None, str | None]], share: float = SHARE, statistics: Statistics | None = None) -> None:
         self.share = share
         self.keys = [i[0] for i in items]
         self.words = [words(i[1]) for i in items]
         self.answers = [words(i[2]) for i in items]
-        n, sizes = len(items), [len(w) for w in self.words]
-        mean = sum(sizes) / max(1, n) or 1.0
-        df = Counter(t for w in self.words for t in set(w))
+        sizes = [len(w) for w in self.words]
+        n, total, df = statistics or (len(items), sum(sizes), Counter(t for w in self.words for t in set(w)))
+        mean = total / max(1, n) or 1.0
         self.idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, w in enumerate(self.words):
@@ -250,15 +255,36 @@ class ItemIndex:
         return out
 
 
+def block_statistics(items: DataFrame, blocks: int) -> Iterator[Statistics]:
+    """For every block in turn the statistics of all items; the driver holds the words of one block only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = [(b, words(t)) for b, t in zip(batch["block"], batch["text"], strict=True)]
+            rows = [(b, w, 0) for b, ws in own for w in set(ws)] + [(b, None, len(ws)) for b, ws in own]
+            yield pd.DataFrame(rows, columns=["block", "word", "size"])
+
+    found = items.select(_block(blocks).cast("int").alias("block"), "text").mapInPandas(run, "block int, word string, size long")
+    n, total = found.filter("word IS NULL").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    found = found.filter("word IS NOT NULL")
+    counts = found.groupBy("word").agg(F.count("*").alias("n"))
+    for b in range(blocks):
+        yield n, total, {r["word"]: r["n"] for r in counts.join(found.filter(F.col("block") == b).select("word").distinct(), "word").collect()}
+
+
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """Columns ``doc_id, item_id, question_overlap, answer_overlap``: every item that a document carries."""
     spark = documents.sparkSession
     texts = spread(documents.select("doc_id", "text"), "doc_id")
     blocks = max(1, -(-items.count() // block))
     out = None
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text", "answer").collect()
-        shared = spark.sparkContext.broadcast(ItemIndex(sorted((tuple(r) for r in rows), key=lambda r: r[0]), share))
+    for b, statistics in enumerate(block_statistics(items, blocks) if blocks > 1 else [None]):
+        rows = items.filter(_block(blocks) == b).select("item_id", "text", "answer").collect()
+        shared = spark.sparkContext.broadcast(ItemIndex(sorted((tuple(r) for r in rows), key=lambda r: r[0]), share, statistics))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             index = shared.value

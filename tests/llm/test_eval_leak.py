@@ -102,3 +102,22 @@ def test_items_over_blocks_and_odd_tables(spark):
         assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
     assert leaked_items(docs, frame.limit(0)).count() == 0 and leaked_items(docs.limit(0), frame).count() == 0
     assert E.SHARE == 0.5
+
+
+def test_blocks_do_not_change_what_is_carried(spark):
+    items, rng = corpus(n=24)
+    items += [(100, None, None), (101, "", "x")]
+    docs = []
+    for i, text, _ in items[:24]:
+        for every in (3, 4, 5, 6, 7, 8):
+            names = [w if w.islower() or rng.random() > 1 / every else rng.choice(NAMES) for w in text.split()]
+            docs.append((len(docs), " ".join("indeed" if k % (every + 3) == i % 3 else w for k, w in enumerate(names))))
+    frame = spark.createDataFrame(items, "item_id long, text string, answer string")
+    texts = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = ItemIndex(items)
+    want = {(d, i) for d, t in docs for i, _, _ in whole.leaks(t)}
+    assert 0 < len(want) < len(docs)
+    for block in (5_000, 7):
+        assert {(r["doc_id"], r["item_id"]) for r in leaked_items(texts, frame, block=block).collect()} == want
+    for n, total, df in E.block_statistics(frame, 4):
+        assert (n, total) == (26, sum(map(len, whole.words))) and df and all(df[w] == sum(w in x for x in whole.words) for w in df)
