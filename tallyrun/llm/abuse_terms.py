@@ -1,75 +1,58 @@
-"""Prior knowledge of abusive language: terms per kind and language, and frames that take their force.
+"""Seed words of abuse: what the learner starts from.
 
-Fixed values.  A term is one or more folded words; ``|`` parts alternatives of a word.  The first element of each entry
-is the prior log-odds that the term stands for abuse rather than ordinary text.
+Fixed values, written from general knowledge of the four languages, not from any corpus.  They are the informative part of
+the Dirichlet prior: every other word's and every phrase's weight is learnt (``abuse.py``).  Text is folded: lower case, no
+accents.  ``SURE`` words stand for abuse nearly whenever they are used, ``LIKELY`` ones often, ``MAYBE`` ones now and then.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
-INSULTS_EN = (
-    (12, "wanker wankers cunt cunts prick pricks dickhead dickheads arsehole arseholes asshole assholes bastard bastards bitch bitches whore whores slut sluts twat twats tosser tossers scumbag scumbags moron morons imbecile imbeciles cretin cretins retard retards lowlife lowlifes subhuman subhumans motherfucker faggot faggots poofs queers nigger kike spastic shithead bellend"),
-    (7, "idiot idiots retarded inbred cockroach cockroaches parasite parasites vermin scum filth untermensch degenerate degenerates"),
-    (3.5, "pig pigs rat rats swine worthless spineless brainless stinking slimy lying filthy disgusting ugly useless pathetic stupid dirty fucking lice cripples savages apes"),
-)
-PHRASES_EN = (
-    (12, "piece of shit", "pieces of shit", "waste of oxygen", "waste of space", "fuck you", "piss off", "fuck off", "shut your mouth", "shut it you", "drop dead", "choke on it", "go die", "kill yourself", "hang yourself", "end it tonight", "do the world a favour", "nobody would miss you", "should never have been born", "never have been born", "wished for a stone", "mercy your children", "your whole family is", "you know what to do", "roof is open", "nothing but a retarded|worthless|disgusting|lying", "the lot of you", "thick as pig", "face like a", "imagine being as"),
-    (12, "slit your throat", "cut your throat", "i will kill", "will kill you", "gonna kill you", "i will gut", "gut you", "i will stab", "will stab you", "i will shoot", "will find you", "bash your head", "break your legs", "breaks both legs", "break both legs", "never walks again", "wait for that", "going to wait for", "should wait for", "in the car park with", "know where you live", "lives and next time", "not be the only thing that", "have your address", "under your car", "leave in a bag|box|coffin", "ought to be put down", "should be put down", "deserve to die", "deserves to die", "deserves the rope", "acid for", "right in the face", "sorry the driver braked", "hope he dies", "hope you die", "hope you rot", "burn in hell", "out of the wreck"),
-    (12, "breed like rats", "are animals all of them", "never trust anybody from", "not even a human", "belong in a cage", "belong in the kitchen", "brains the size of", "driven out of our", "with whips", "are a plague", "burn the boats", "send the whole lot back", "sink the lot", "go back to where you", "is a dead one", "are a dead one", "gas the", "pure again", "made to serve", "blood like that", "mixes our blood", "keep our stands clean", "dirty race", "master race", "their faith is a disease", "is a disease and so", "ban every last one", "wash about once", "can smell a", "no place in the dressing room", "beat it out of", "waste of our money", "cannot learn to read", "cripples should", "should not get seats"),
-)
-SEXUAL_EN = (
-    (12, "suck my dick", "my dick", "my cock", "with my cock", "lick you all over", "want to lick", "all over and ride", "ride that body", "so horny", "xxx clips", "xxx", "porn", "sex tape", "naked stars", "fucking in the", "uncensored", "full length hardcore", "hardcore", "hot singles", "milfs", "milf", "want to fuck", "wants to fuck", "click now 18", "nude pics", "onlyfans leak", "wanks", "wanking", "jerks off", "jerking off", "masturbates", "masturbating", "cock and all", "bends the masseuse", "over the bench and", "while he thrusts", "thrusts into", "stroked until", "until he came", "into the shorts of", "my wife sends", "her tits", "tits to", "for the nudes", "blowjob", "handjob", "cumshot", "gangbang", "dildo", "the things i would do to", "orgasm", "fuck me hard", "spread her legs", "wet pussy", "hard cock"),
-    (3.5, "horny", "tits", "cock", "nudes", "moans", "strip for", "swallow", "pussy", "erection", "bend over"),
-)
-TERMS_DE = (
-    (12, "hurensohn", "huhrensohn", "wichser", "arschloch", "fotze", "schlampe", "missgeburt", "drecksau", "schwuchtel", "kanake", "kanaken", "halt die fresse", "halt dein maul", "fick dich", "verpiss dich", "ungeziefer", "untermenschen", "geboren werden durfen", "gehort weggesperrt", "gehort vergast", "gehoren vergast", "stech dich ab", "bring dich um", "schlag dich tot", "wo du wohnst", "weiss wo du", "geile titten", "ficken", "verrecke", "verrecken", "an die wand", "sollen verschwinden", "geh zuruck nach", "raus mit dem pack", "abschaum"),
-    (5, "dreckiger", "dummes", "verdammter", "ratten", "pack", "idiot", "schwein", "titten", "parasiten", "abstechen", "umbringen", "nutte", "penner"),
+SURE = {
+    "en": "wanker wankers cunt cunts dickhead dickheads arsehole arseholes asshole assholes bastard bastards bitch bitches whore whores slut sluts "
+    "twat twats tosser tossers scumbag scumbags moron morons imbecile imbeciles cretin cretins retard retards dumbass braindead lowlife lowlifes "
+    "subhuman subhumans motherfucker shithead bellend faggot faggots nigger kike spastic poof poofs queers tranny mong mongs "
+    "porn xxx milf milfs blowjob handjob cumshot gangbang dildo horny wank wanks wanking masturbate masturbates masturbating tits pussy nudes",
+    "de": "hurensohn wichser arschloch fotze schlampe missgeburt drecksau schwuchtel kanake kanaken ungeziefer untermensch untermenschen ficken fick titten nutte abschaum",
+    "es": "gilipollas cabron cabrones maricon maricones subnormal follar follada tetas puta putas polla",
+    "fr": "connard connards connasse salope salopes encule encules pute putes bougnoule bite nique",
+}
+LIKELY = {
+    "en": "idiot idiots prick pricks pig pigs cockroach cockroaches parasite parasites vermin scum inbred retarded degenerate degenerates lice rat rats swine "
+    "worthless spineless brainless dick cock cripples",
+    "de": "idiot schwein pack fresse maul parasiten ratten dreckiger verrecke",
+    "es": "imbecil cerdo zorra escoria mierda ratas cucarachas",
+    "fr": "cretin abruti batard ordure vermine gueule racaille creve crevent rats baiser foutre",
+}
+MAYBE = {
+    "en": "animals stinking slimy lying filthy disgusting ugly useless pathetic stupid dirty fucking cunting filth plague",
+    "de": "dummes dummer verdammter geile",
+    "es": "asqueroso inutil",
+    "fr": "sale espece gros",
+}
+#: Fixed expressions of contempt, threat and sexual demand whose single words are harmless.
+PHRASES = (
+    "piece of shit", "waste of oxygen", "waste of space", "fuck you", "fuck off", "piss off", "drop dead", "kill yourself", "hang yourself",
+    "shut your mouth", "kill you", "stab you", "shoot you", "slit your throat", "break your legs", "know where you live", "deserve to die",
+    "deserves to die", "hope you die", "hope he dies", "burn in hell", "gets cancer", "suck my", "want to fuck", "sex tape", "jerks off",
+    "never have been born", "halt die", "bring dich um", "wo du wohnst", "fick dich", "hijo de puta", "te voy a matar", "donde vives",
+    "ojala te mueras", "va te faire", "fils de pute", "te tuer", "tu habites", "ta gueule",
 )
-TERMS_ES = (
-    (12, "hijo de puta", "hijos de puta", "gilipollas", "cabron", "cabrones", "maricon", "maricones", "puta madre que te", "inutil de mierda", "ojala te mueras", "te voy a matar", "te vamos a matar", "se donde vives", "sabemos donde vives", "no merece vivir", "no mereces vivir", "vuelve a tu pais", "con los tuyos", "son ratas", "a patadas", "muerete", "chupame la", "chupamela", "follar a", "tetas", "son animales", "hay que echarlos", "subnormal", "que te follen", "le haga el favor"),
-    (5, "puta", "cerdo", "zorra", "escoria", "mierda", "imbecil", "ratas", "polla", "callate", "follar", "follada", "matarte"),
+#: Words by which texts report, punish or quote such language, or turn on the speaker.
+REPORTS = (
+    "condemned apologised apologized banned ban fined court sentenced arrested police charged threatened abuse documentary museum "
+    "verurteilte verurteilt entschuldigte gesperrt polizei beleidigungen condeno denuncio multa policia insultos condamne amende police insultes"
 )
-TERMS_FR = (
-    (12, "connard", "connards", "salope", "salopes", "encule", "encules", "fils de pute", "ferme ta gueule", "va te faire foutre", "sous merde", "qu il creve", "qu ils crevent", "jamais du naitre", "rendez nous service", "je vais te tuer", "on va te tuer", "te crever", "sais ou tu habites", "sait ou tu habites", "sont des rats", "dehors tous", "retourne a", "retourne dans ton", "suce ma bite", "suce moi", "nique ta mere", "pedale", "bougnoule", "sont des animaux", "des gros seins", "se fait baiser", "baiser par"),
-    (5, "batard", "pute", "gueule", "creve", "ordure", "vermine", "sale race", "bite", "baiser", "seins", "espece de", "tapette", "racaille", "cretin", "abruti"),
-)
-#: Words of judgement and insult nouns: side by side they are an insult, alone they may not be.
-JUDGEMENTS = "worthless spineless brainless stinking slimy lying filthy disgusting ugly useless pathetic stupid dirty fucking retarded inbred damn bloody"
-NOUNS = "pig rat cockroach parasite idiot lowlife vermin swine dog donkey clown scum animal monkey ape"
-#: Ways to address or describe someone, before an insult noun.
-ADDRESS = ("you", "is a", "is an", "are a", "are an", "you are a", "what a", "listen here", "only a", "the")
-
-#: Frames that report, punish, quote, forbid or turn on the speaker: terms in reach lose their force.
-REPORTS = ("condemned", "apologised", "apologized", "banned for", "gets you a ban", "get you a ban", "a ban no warnings", "handed the recording", "asked people to report", "spoke about the", "lists the words", "as shouted by", "fined a man", "a court in", "was fined", "sentenced", "arrested", "documentary", "moderators", "deleted", "charter", "forbids", "removed a banner", "who had threatened", "charged with", "hate mail", "death threats of", "workshops", "education", "inspector", "museum", "lecture", "told the club channel", "i was an idiot", "i was a", "i am an idiot", "i am such a", "my own performance", "i feel like an", "verurteilte", "verurteilt", "entschuldigte", "gesperrt", "bericht", "polizei", "strafe", "beleidigungen", "condeno", "denuncio", "multa", "sancionado", "insultos", "policia", "informe", "pidio perdon", "condamne", "a condamne", "amende", "sanctionne", "insultes", "plainte", "rapport", "s est excuse")
 
 
-def prior_terms() -> dict[tuple[str, ...], float]:
-    """Every term, as a tuple of words, with its prior log-odds."""
+def seeds() -> dict[tuple[str, ...], float]:
+    """Every seed with the share of its uses that is abuse, before any evidence."""
     out: dict[tuple[str, ...], float] = {}
-
-    def put(weight: float, phrase: str) -> None:
-        for words in product(*[w.split("|") for w in phrase.split()]):
-            out[words] = max(weight, out.get(words, 0.0))
-
-    for weight, words in INSULTS_EN:
-        for w in words.split():
-            put(weight, w)
-    for table in (PHRASES_EN, SEXUAL_EN, TERMS_DE, TERMS_ES, TERMS_FR):
-        for weight, *phrases in table:
-            for p in phrases:
-                put(weight, p)
-    for a, n in product(JUDGEMENTS.split(), NOUNS.split()):
-        put(9, f"{a} {n}")
-    for a, n in product(ADDRESS[:6], NOUNS.split()):
-        put(9, f"{a} {n}")
-    for a, n in product(("are", "like", "you"), ("pigs", "rats", "lice", "cockroaches", "parasites", "animals", "vermin", "dogs", "apes")):
-        put(8, f"{a} {n}")
-    for j in JUDGEMENTS.split()[:12]:
-        put(8, f"you {j}")
-        put(8, f"you are {j}")
+    for share, table in ((0.2, MAYBE), (0.6, LIKELY), (0.95, SURE)):
+        for words in table.values():
+            out.update({(w,): share for w in words.split()})
+    out.update({tuple(p.split()): 0.95 for p in PHRASES})
     return out
 
 
-def report_terms() -> list[tuple[str, ...]]:
-    return [tuple(p.split()) for p in REPORTS]
+def report_words() -> set[str]:
+    return set(REPORTS.split())

@@ -75,7 +75,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's score for abusive content, with the segments that it rests on."""
-    return score_documents(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "review_samples"))
+    return score_documents(table(spark, folder, "documents", "doc_id", "source", "lang", "text"), table(spark, folder, "review_samples"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
