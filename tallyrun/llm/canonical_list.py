@@ -12,7 +12,8 @@ blocks holds: the same as one block would give.
 
 Defined results: NULL and blank values map to nothing and are not reported; of several entries named in a value the
 first one counts; equal ranks go to the more frequent entry, then the smaller id; an empty list leaves every value
-unmatched; very long values are looked up like others, word for word.
+unmatched; very long values are looked up like others.  Letters are deleted from the first ``PREFIX`` letters only, which
+loses nothing: within ``k`` edits, the prefixes of both have a common form after ``k`` deletions each.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tallyrun.llm.text import plain
 
-BLOCK = 20_000
+BLOCK, PREFIX = 20_000, 20
 #: The id of values that mean no entry.
 MISS = -1
 #: A match's rank, least first: reading (of the country named first; the whole value, if only nearly met, last), way to
@@ -94,11 +95,11 @@ def readings(value: str) -> list[list[str]]:
 
 
 def deletions(word: str, most: int) -> set[str]:
-    """The word with up to ``most`` letters left out."""
-    found, edge = {word}, {word}
+    """The word's prefix with up to ``most`` letters left out."""
+    found = edge = {word[:PREFIX]}
     for _ in range(most):
         edge = {w[:i] + w[i + 1 :] for w in edge for i in range(len(w))}
-        found |= edge
+        found = found | edge
     return found
 
 
@@ -148,6 +149,7 @@ class SymmetricDelete:
                     self.exact.setdefault(key, list_id)
             if code and (key := letters(fold(code)).replace(" ", "")):
                 self.codes.setdefault(key, list_id)
+        self.longest = max(map(len, self.exact), default=0)
         for key in self.exact:
             for d in deletions(key, bound(len(key))):
                 self.deleted.setdefault(d, []).append(key)
@@ -155,6 +157,8 @@ class SymmetricDelete:
     def near(self, value: str) -> tuple[float, int, int] | None:
         """Best entry within the bound: weighted distance, minus its frequency, its id."""
         most = bound(len(value))
+        if len(value) > self.longest + most:
+            return None
         names = {n for d in deletions(value, most) for n in self.deleted.get(d, ())}
         ranked = [(w[1], -self.weight[self.exact[n]], self.exact[n]) for n in names if (w := distance(value, n, min(most, bound(len(n)))))]
         return min(ranked, default=None)

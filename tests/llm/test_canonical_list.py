@@ -38,6 +38,29 @@ def test_deletion_lookup_finds_all_within_the_bound():
         assert (index.near(v) is not None) == bool(near)
 
 
+def test_long_names_and_values():
+    """Deletions come from a prefix only: nothing within the bound is lost, and long values cost no more than short ones."""
+    import time
+
+    rng = random.Random(9)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(18, 40))) for _ in range(40)]
+    index = SymmetricDelete([(i, n, None, None, 0) for i, n in enumerate(names)])
+    for i, n in enumerate(names):
+        for _ in range(10):
+            v = list(n)
+            for _ in range(2):
+                k = rng.randrange(len(v) - 1)
+                edit = rng.randrange(4)
+                v[k : k + 2] = [v[k + 1], v[k]] if edit == 0 else [v[k]] if edit == 1 else [v[k], "x", v[k + 1]] if edit == 2 else ["x", v[k + 1]]
+            found = index.near("".join(v))
+            assert found is not None and found[2] == i
+    start = time.perf_counter()
+    for size in (60, 500, 10_000):
+        junk = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+        assert index.look_up(junk) == (MISS, 0.0)
+    assert time.perf_counter() - start < 2
+
+
 def test_distance():
     assert distance("abc", "acb", 2)[0] == 1 and distance("abc", "xyz", 2) is None and distance("aab", "ab", 2)[1] < 1
     assert deletions("abc", 1) == {"abc", "ab", "ac", "bc"} and letters(fold(" A_b*")) == "a b"
