@@ -33,41 +33,14 @@ from tallyrun.llm.spread import spread
 from tallyrun.llm.text import words
 
 BLOCK = 5_000
-#: Share of an item's words that makes a case, and the part of the bounds that retrieval asks for.
-SHARE, SLACK = 0.5, 0.8
+#: Share of an item's words that makes a case.
+SHARE = 0.5
 #: Words of a stretch, words that may differ between two of its shared pairs, and the weight it must share.
 MIN_STRETCH, MAX_GAP, MIN_WEIGHT = 6, 3, 0.75
 #: BM25's parameters and the length of a block of postings.
 K1, B, POSTINGS_BLOCK = 1.2, 0.75, 32
-#: Part of the bar that the lists without a cursor may hold together.
-SIDE = 0.6
-
-
-def _place(c: Cursor) -> int:
-    return c.now
-
-
-class Cursor:
-    """Position in one posting list, with the maxima of its blocks."""
-
-    __slots__ = ("at", "block", "bound", "ids", "impacts", "maxima", "now")
-
-    def __init__(self, ids: list[int], impacts: list[float], maxima: list[float], bound: float) -> None:
-        self.ids, self.impacts, self.maxima, self.bound = ids, impacts, maxima, bound
-        self.at, self.now = 0, ids[0]
-
-    def advance(self, to: int, end: int) -> None:
-        """Move to the first posting at or beyond ``to``; whole blocks are passed over."""
-        ids, at = self.ids, self.at
-        size = len(ids)
-        while at < size:
-            last = min((at // POSTINGS_BLOCK + 1) * POSTINGS_BLOCK, size) - 1
-            if ids[last] >= to:
-                break
-            at = last + 1
-        while at < size and ids[at] < to:
-            at += 1
-        self.at, self.now = at, ids[at] if at < size else end
+#: The bar of all items, less what single precision may lose; impacts looked at together.
+BAR, MOST_SCORES = 1 - 1e-4, 4_000_000
 
 
 def cheapest_stretches(cost: np.ndarray, wanted: int, least: int) -> float:
@@ -110,6 +83,7 @@ class ItemIndex:
         mean = total / max(1, n) or 1.0
         self.idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        self.needed = [0.0] * len(items)
         for i, w in enumerate(self.words):
             if not w:
                 continue
@@ -119,91 +93,55 @@ class ItemIndex:
             top = (K1 + 1) / (1 + K1 * (1 - B + B * sizes[i] / mean))
             lost = (1 - MIN_WEIGHT) * top * np.array([self.idf[t] for t in w])
             stretches = cheapest_stretches(each - lost, math.ceil(share * sizes[i] - 1e-9), min(MIN_STRETCH, sizes[i]))
-            bar = max(self._least(tf, score, share * SLACK * sizes[i]), SLACK * stretches)
+            bar = max(stretches, 1e-9)
+            self.needed[i] = MIN_WEIGHT * sum(sorted(self.idf[t] for t in w)[: math.ceil(share * sizes[i] - 1e-9)]) * (1 - 1e-9)
             for t, s in score.items():
                 lists[t].append((i, s / bar))
-        self.postings = {t: self._list(p) for t, p in lists.items()}
-
-    @staticmethod
-    def _least(tf: Counter[str], score: dict[str, float], wanted: float) -> float:
-        """Lowest score of a set of terms that together stand for ``wanted`` words."""
-        total = 0.0
-        for t in sorted(tf, key=lambda t: score[t] / tf[t]):
-            take = min(1.0, wanted / tf[t])
-            total, wanted = total + take * score[t], wanted - tf[t]
-            if wanted <= 0:
-                break
-        return max(total * (1 - 1e-9), 1e-9)
-
-    @staticmethod
-    def _list(p: list[tuple[int, float]]) -> tuple[list[int], list[float], list[float], float, dict[int, float]]:
-        ids, impacts = [i for i, _ in p], [s for _, s in p]
-        maxima = [max(impacts[k : k + POSTINGS_BLOCK]) for k in range(0, len(impacts), POSTINGS_BLOCK)]
-        return ids, impacts, maxima, max(impacts), dict(p)
+        self._blocks(lists)
+
+    def _blocks(self, lists: dict[str, list[tuple[int, float]]]) -> None:
+        """The postings by blocks of items: a bound per term and block, and the impacts of those blocks that have any."""
+        count = -(-len(self.keys) // POSTINGS_BLOCK)
+        self.rows = {t: r for r, t in enumerate(lists)}
+        self.bounds = np.zeros((len(lists), count), np.float32)
+        self.where = np.zeros((len(lists), count), np.int32)
+        impacts = [np.zeros(POSTINGS_BLOCK, np.float32)]
+        for t, r in self.rows.items():
+            for item, s in lists[t]:
+                block, at = divmod(item, POSTINGS_BLOCK)
+                if not self.where[r, block]:
+                    self.where[r, block] = len(impacts)
+                    impacts.append(np.zeros(POSTINGS_BLOCK, np.float32))
+                impacts[self.where[r, block]][at] = s
+                self.bounds[r, block] = max(self.bounds[r, block], s)
+        self.impacts = np.array(impacts)
 
     def retrieve(self, terms: Iterable[str]) -> list[int]:
         """Block-max WAND: every item whose score reaches its bar.
 
-        The lists with the smallest bounds, ``SIDE`` of the bar together, do not move a cursor: their bounds are added
-        to every sum, and their impacts are looked up for the items that pass.
+        The weak AND is taken for all blocks of items at once: the terms' block maxima are added up, and only blocks in
+        which the sum reaches the bar are opened and scored.
         """
-        lists = sorted((p for t in terms if (p := self.postings.get(t))), key=lambda p: p[3])
-        if sum(p[3] for p in lists) < 1:
+        rows = np.array([r for t in terms if (r := self.rows.get(t)) is not None], np.int64)
+        if not len(rows):
             return []
-        rest, aside = 0.0, 0
-        while rest + lists[aside][3] < SIDE:
-            rest += lists[aside][3]
-            aside += 1
-        side = [p[4] for p in lists[:aside]]
-        cursors = [Cursor(*p[:4]) for p in lists[aside:]]
-        end, out = len(self.keys), []
-        while cursors:
-            cursors.sort(key=_place)
-            total, pivot = rest, -1
-            for k, c in enumerate(cursors):
-                total += c.bound
-                if total >= 1:
-                    pivot = k
-                    break
-            if pivot < 0:
-                return out
-            item = cursors[pivot].now
-            while pivot + 1 < len(cursors) and cursors[pivot + 1].now == item:
-                pivot += 1
-            head, total, border = cursors[: pivot + 1], rest, end
-            for c in head:  # the blocks in which the item would lie
-                at, ids = c.at, c.ids
-                last = min((at // POSTINGS_BLOCK + 1) * POSTINGS_BLOCK, len(ids)) - 1
-                while ids[last] < item and last + 1 < len(ids):
-                    at = last + 1
-                    last = min(at + POSTINGS_BLOCK, len(ids)) - 1
-                if ids[last] >= item:
-                    total += c.maxima[at // POSTINGS_BLOCK]
-                    border = min(border, ids[last] + 1)
-            if total >= 1:
-                if head[0].now == item:
-                    score = sum(c.impacts[c.at] for c in head)
-                    if score + rest >= 1 and score + sum(s.get(item, 0.0) for s in side) >= 1:
-                        out.append(item)
-                    to = item + 1
-                else:
-                    to = item
-            else:
-                after = cursors[pivot + 1].now if pivot + 1 < len(cursors) else end
-                to = max(item + 1, min(border, after))
-            done = False
-            for c in head:
-                if c.now < to:
-                    c.advance(to, end)
-                    done |= c.now >= end
-            if done:
-                cursors = [c for c in cursors if c.now < end]
+        opened = np.flatnonzero(self.bounds[rows].sum(axis=0) >= BAR)
+        step = max(1, MOST_SCORES // (len(rows) * POSTINGS_BLOCK))
+        out: list[int] = []
+        for k in range(0, len(opened), step):
+            blocks = opened[k : k + step]
+            scores = self.impacts[self.where[rows[:, None], blocks]].sum(axis=0)
+            block, at = np.nonzero(scores >= BAR)
+            out += (blocks[block] * POSTINGS_BLOCK + at).tolist()
         return out
 
     def carried(self, item: int, pairs: dict[tuple[str, str], list[int]]) -> float:
         """Share of the item's words that the document holds in stretches; ``pairs`` are its word pairs' places."""
         own = self.words[item]
         size = len(own)
+        met = {k for j in range(size - 1) if (own[j], own[j + 1]) in pairs for k in (j, j + 1)}
+        if size > 1 and sum(self.idf[own[k]] for k in met) < self.needed[item]:
+            return 0.0  # the shared pairs have less weight than any accepted stretches
         seeds = sorted((at, j) for j in range(size - 1) for at in pairs.get((own[j], own[j + 1]), ()))
         chains: list[list[int]] = []  # last place, last word, shared words
         done: list[list[int]] = []
