@@ -34,8 +34,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are split before merging, as its publishers give it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEED, GRID, ROUNDS, TOLERANCE = 20_240_601, 24, 2, 0.02
-#: Most sources with a target; they and their grids are broadcast.
-MOST_SOURCES = 10_000
+#: Most sources that are named in a filter, and most numbers of a grid that are broadcast; beyond these Spark joins.
+MOST_SOURCES, MOST_STEPS = 10_000, 1_000_000
 
 
 @lru_cache(2)
@@ -71,12 +71,12 @@ def poisson_steps(mean: float, cap: int) -> list[float]:
     """Distribution function at 0 .. cap - 1; a number above the k-th step stands for more than k uses."""
     if math.isinf(mean):
         return [-1.0] * cap
-    term = math.exp(-mean)
-    steps, total = [], 0.0
+    if mean == 0:
+        return [1.0] * cap
+    steps, total, log_mean = [], 0.0, math.log(mean)
     for k in range(cap):
-        total += term
-        steps.append(total)
-        term *= mean / (k + 1)
+        total += math.exp(k * log_mean - mean - math.lgamma(k + 1))
+        steps.append(min(1.0, total))
     return steps
 
 
@@ -88,7 +88,7 @@ def solve_mean(rate: float, cap: int) -> float:
         return math.inf
     low, high = 0.0, max(1.0, rate)
     expect = lambda m: sum(1 - s for s in poisson_steps(m, cap))
-    while expect(high) < rate and high < 700:
+    while expect(high) < rate:
         high *= 2
     for _ in range(80):
         mid = (low + high) / 2
@@ -111,11 +111,13 @@ class Mixture:
     def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = TOKENIZER, seed: int = SEED) -> None:
         self.spark, self.seed = documents.sparkSession, seed
         rows = targets.select(_name("source").alias("source"), "target_share", "max_repeats").filter("source IS NOT NULL AND target_share > 0 AND max_repeats > 0")
-        rows = rows.groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).limit(MOST_SOURCES + 1).collect()
-        if len(rows) > MOST_SOURCES:
-            raise ValueError(f"more than {MOST_SOURCES} sources with a target")
+        rows = rows.groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).collect()
         self.targets = {r["source"]: (float(r["share"]), int(r["cap"])) for r in rows}
-        named = documents.select("doc_id", _name("source").alias("source"), "text").filter(F.col("source").isin(*self.targets))
+        named = documents.select("doc_id", _name("source").alias("source"), "text")
+        if len(self.targets) <= MOST_SOURCES:
+            named = named.filter(F.col("source").isin(*self.targets))
+        else:
+            named = named.join(write_out(self.spark.createDataFrame([(s,) for s in self.targets], "source string"), "targets"), "source", "left_semi")
         self.documents = named.filter(F.length("text") > 0)
         counted = token_counts(spread(self.documents, "doc_id"), ["doc_id", "source"], tokenizer)
         drawn = counted.filter("n_tokens > 0").select("source", "n_tokens", uniform(seed, "doc_id").alias("u"))
@@ -126,7 +128,8 @@ class Mixture:
 
     def _grid(self, means: dict[str, list[float]]) -> DataFrame:
         rows = [(s, i, poisson_steps(m, self.targets[s][1])) for s, ms in means.items() for i, m in enumerate(ms)]
-        return F.broadcast(self.spark.createDataFrame(rows, "source string, i int, steps array<double>"))
+        grid = self.spark.createDataFrame(rows, "source string, i int, steps array<double>")
+        return F.broadcast(grid) if sum(len(r[2]) for r in rows) <= MOST_STEPS else write_out(grid, "grid")
 
     def _totals(self, means: dict[str, list[float]]) -> dict[tuple[str, int], tuple[int, int, int]]:
         tries = self.drawn.join(self._grid(means), "source").select("source", "i", "n_tokens", uses(F.col("u"), F.col("steps")).alias("k"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tallyrun.llm.mixing import Mixture, poisson_steps, solve_mean, uses
 
 
-@pytest.mark.parametrize(("rate", "cap"), [(0.3, 1), (0.99, 1), (1.5, 4), (3.3, 4), (7, 100), (0.001, 3)])
+@pytest.mark.parametrize(("rate", "cap"), [(0.3, 1), (0.99, 1), (1.5, 4), (3.3, 4), (7, 100), (0.001, 3), (900, 1000)])
 def test_mean_gives_the_rate_under_the_cap(rate, cap):
     assert sum(1 - s for s in poisson_steps(solve_mean(rate, cap), cap)) == pytest.approx(rate, abs=1e-6)
 
