@@ -247,6 +247,7 @@ class Analytics:
         by_id = self.catalog.countries.select(F.col("country_id").alias("_ci"), F.col("country_name").alias("ki_country"), F.col("confederation").alias("ki_confederation"))
         rows = rows.join(k, F.col("competition_id") == F.col("_k"), "left").join(by_id, F.col("k_country_id") == F.col("_ci"), "left")
         rows = self._country(rows, F.col("k_country"), "kn_").withColumns({"fc": F.coalesce("ki_country", "kn_country"), "fk": F.when(F.col("ki_country").isNotNull(), F.col("ki_confederation")).otherwise(F.col("kn_confederation"))})
+        rows = write_out(rows.select("seed_id", "day", "appearance_id", "after", "before", "fc", "fk", "_k", "k_country", "k_confederation", "k_type", "k_sub_type"), "seed_appearances")
         order = F.struct("day", "appearance_id")
         usable = F.col("after") & F.col("fc").isNotNull()
         firsts = rows.groupBy("seed_id").agg(F.min_by(F.struct("fc", "fk"), F.when(usable, order)).alias("f"), F.min(F.when(F.col("after"), F.col("day"))).alias("first_day"), F.max(F.when(F.col("before"), F.col("day"))).alias("last_day"))
@@ -272,17 +273,24 @@ class Analytics:
     def overlap_answers(self) -> DataFrame:
         """Ids 76 to 84: who else was at the club during a seed's stint.
 
-        The seeds' stints meet the other stints of their clubs only; pairs outside the seed set are never formed.
+        The seeds' stints meet the other stints of their clubs only, by years that both touch; named players come from a
+        join on club and name.
         """
         t = self.specific_transfer().filter("to_club_id IS NOT NULL")
         subject = t.select("seed_id", F.col("to_club_id").alias("club_id"), F.col("player_id").alias("own_id"), F.coalesce("player_name", F.lit("")).alias("own_name"), F.col("transfer_date").alias("a"), F.col("next_date").alias("b"), "seed_other_player_name", "seed_player_name_1", "seed_player_name_2")
         others = stints(self.catalog.transfers).select("club_id", "player_id", F.coalesce("player_name", F.lit("")).alias("player_name"), F.col("start").alias("c"), F.col("stop").alias("d"))
-        rows = subject.join(others, "club_id")
+        # pairs meet in the years that both stints touch, each once, in the first such year
+        top = F.year(others.agg(F.max("c")).scalar())
+        years = lambda a, b: F.explode(F.sequence(F.least(F.year(a), top), F.greatest(F.least(F.year(a), top), F.least(F.coalesce(F.year(b), top), top)))).alias("y")
+        met = subject.select("*", years("a", "b")).join(others.select("*", years("c", "d")), ["club_id", "y"])
+        met = met.filter(F.col("y") == F.least(F.greatest(F.year("a"), F.year("c")), top)).drop("y")
+        rows = write_out(met, "seed_stints")
         away = F.col("player_id") != F.col("own_id")
         meets = away & overlaps(F.col("a"), F.col("b"), F.col("c"), F.col("d"))
         order = F.struct(F.greatest("a", "c"), "player_name", "player_id")
         first = rows.groupBy("seed_id").agg(F.min_by("player_name", F.when(meets, order)).alias("first_other"))
         rows = rows.join(first, "seed_id")
+        asked = subject.join(first, "seed_id", "left")
         other = F.coalesce("seed_other_player_name", "first_other", "own_name")
         one, two = F.coalesce("seed_player_name_1", "own_name"), F.coalesce("seed_player_name_2", "first_other", "own_name")
         already = meets & (F.col("c") <= F.col("a")) & (open_end(F.col("d")) > F.col("a"))
@@ -293,7 +301,7 @@ class Analytics:
             F.first(other).alias("other_player_name"), F.first(one).alias("player_name_1"), F.first(two).alias("player_name_2"), F.first("own_name").alias("player_name"), names(meets, order).alias("l76"), F.count_distinct(F.when(meets, F.col("player_id"))).alias("n77"), F.coalesce(F.bool_or(meets & (F.col("player_name") == other)), F.lit(False)).alias("b78"),
             F.coalesce(F.bool_or(already & (F.col("player_name") == other)), F.lit(False)).alias("b82"), names(already, order).alias("l83"), names(later, by_start).alias("l84"),
         )
-        side = lambda name, p: rows.filter(F.col("player_name") == name).select("seed_id", F.col("player_id").alias(f"{p}i"), F.col("c").alias(f"{p}c"), F.col("d").alias(f"{p}d")).distinct()
+        side = lambda name, p: asked.select("seed_id", "club_id", name.alias("player_name")).join(others, ["club_id", "player_name"]).select("seed_id", F.col("player_id").alias(f"{p}i"), F.col("c").alias(f"{p}c"), F.col("d").alias(f"{p}d")).distinct()
         pairs = side(one, "x").join(side(two, "y"), "seed_id").filter("xi <> yi")
         meet = overlaps(F.col("xc"), F.col("xd"), F.col("yc"), F.col("yd"))
         low, high = F.greatest("xc", "yc"), F.least(open_end(F.col("xd")), open_end(F.col("yd")))
@@ -315,7 +323,7 @@ class Analytics:
         seeds = self.seed_country().filter("game_id IS NOT NULL").select("seed_id", "game_id", F.col("country_name").alias("seed_country_name"), F.col("capital_city").alias("seed_capital_city"), "s_capital_city")
         order = F.struct(F.coalesce("minute", F.lit(0)), F.col("game_event_id"))
         fields = ("game_id", "game_event_id", "minute", "type", "club_id", "player_id", "player_assist_id")
-        events = seeds.join(self.catalog.game_events.select(*fields), "game_id")  # the first one is the same among repeated records
+        events = write_out(seeds.join(self.catalog.once("game_events", *fields), "game_id"), "seed_events")
         first = events.groupBy("seed_id").agg(F.min_by(F.struct("type", "club_id", "player_id"), order).alias("f")).select("seed_id", F.col("f.type").alias("first_type"), F.col("f.club_id").alias("first_club"), F.col("f.player_id").alias("first_player"))
         people = self.catalog.players.select("player_id", "country_of_birth", "country_of_citizenship")
         person = lambda p: people.select(*[F.col(c).alias(p + c) for c in people.columns])
@@ -324,7 +332,7 @@ class Analytics:
         anywhere = self.countries.agg(F.min_by(F.struct("country", "capital_city"), "row_index")).scalar()
         pick = lambda c: F.when(F.col("g_known"), F.col(f"g_{c}")).otherwise(F.coalesce(F.col(f"hc_{c}"), anywhere[c]))
         first = first.select("seed_id", "first_type", pick("country").alias("fall_country"), pick("capital_city").alias("fall_capital"))
-        rows = self._club(seeds.join(self.catalog.once("game_events", *fields), "game_id").join(first, "seed_id"), "club_id", "c_")
+        rows = self._club(events.join(first, "seed_id"), "club_id", "c_")
         rows = rows.join(person("p_"), F.col("player_id") == F.col("p_player_id"), "left").join(person("a_"), F.col("player_assist_id") == F.col("a_player_id"), "left")
         for key, p in (("p_country_of_citizenship", "pz_"), ("p_country_of_birth", "pb_"), ("a_country_of_citizenship", "az_")):
             rows = self._country(rows, F.col(key), p)

@@ -34,8 +34,21 @@ def _analytics(spark: SparkSession, folder: str, games: bool = False) -> Analyti
     return Analytics(c, seeds)
 
 
+#: The analytics of the folder in use, so that all families share its written tables.
+_SHARED: dict[tuple[str, str, bool], Analytics] = {}
+
+
+def _shared_analytics(spark: SparkSession, folder: str, games: bool) -> Analytics:
+    key = (spark.sparkContext.applicationId, folder, games)
+    if key not in _SHARED:
+        for old in [k for k in _SHARED if k[:2] != key[:2]]:
+            del _SHARED[old]
+        _SHARED[key] = _analytics(spark, folder, games)
+    return _SHARED[key]
+
+
 def level_3(family: str, spark: SparkSession, folder: str) -> DataFrame:
-    return getattr(_analytics(spark, folder, family == "game_answers"), family)().select("question_id", "seed_id", "answer")
+    return getattr(_shared_analytics(spark, folder, family == "game_answers"), family)().select("question_id", "seed_id", "answer")
 
 
 # -- SQL --------------------------------------------------------------------------------------------------------------
