@@ -1,7 +1,8 @@
 """Session and shared-storage helpers.
 
 Everything that outlives one job (cut lineage, streaming state, written tables) goes to the folder that the cluster
-names in ``spark.checkpoint.dir``.  Only where that is unset, as in tests, a folder of our own is used.
+names in ``spark.checkpoint.dir``.  Only where that is unset in local mode, as in tests, a folder of our own is used; a
+cluster without it is refused.  ``remove_scratch`` deletes what an application has written there.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, made known to Spark for ``checkpoint()``."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tallyrun-"))
             atexit.register(_remove_own)
@@ -71,6 +74,18 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete everything this application wrote to the shared folder; results that still read it must be stored before."""
+    remove_path(spark, f"{shared_dir(spark)}/tallyrun-{spark.sparkContext.applicationId}")
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def is_directory(spark: SparkSession, path: str) -> bool:
     """Whether the path is a directory (a written table) and not a single file."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
