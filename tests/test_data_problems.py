@@ -12,7 +12,7 @@ from tallyrun.operators.intervals import merged_periods, overlaps_and_gaps, sett
 from tallyrun.operators.orphans import Reference, key_runs, orphan_references
 from tallyrun.operators.reconcile import Pair, differences, interpolate
 from tallyrun.queries.data_problems import player_features
-from tallyrun.streaming.feature_table import EventSource, build_feature_table
+from tallyrun.streaming.feature_table import BucketedTable, EventSource, build_feature_table
 
 DAY = dt.date(1970, 1, 1)
 
@@ -220,6 +220,34 @@ def test_feature_table_over_several_batches_and_runs(spark, tmp_path):
     assert len(run()) == 3
 
 
+def test_records_are_remembered_as_long_as_deliveries_may_be_late(spark, tmp_path):
+    d = lambda n: dt.date(2020, 1, n)
+    folder, state = tmp_path / "data", str(tmp_path / "state")
+    put = lambda data: spark.createDataFrame(data, SCHEMA).coalesce(1).write.mode("append").parquet(str(folder / "ev.parquet"))
+    run = lambda: features(build_feature_table(spark, str(folder), [source()], ("goals",), state=state, late_by="5 days", maxFilesPerTrigger="1"))
+    put([("1", "a", "x", d(1), 1, ""), ("1", "a", "x", d(1), 1, ""), ("2", "b", "x", d(2), 1, "")])
+    assert run() == {"a": {"x": (1, "2020-01-01", 1)}, "b": {"x": (1, "2020-01-02", 1)}}
+    put([("2", "b", "x", d(2), 1, ""), ("3", "a", "y", d(4), 2, "")])
+    assert run() == {"a": {"x": (1, "2020-01-01", 1), "y": (1, "2020-01-04", 2)}, "b": {"x": (1, "2020-01-02", 1)}}
+    put([("4", "c", "x", d(20), 1, ""), ("3", "a", "y", d(4), 2, ""), ("5", "c", "x", d(19), None, "")])
+    assert run()["c"] == {"x": (2, "2020-01-20", 1)} and run()["a"] == {"x": (1, "2020-01-01", 1), "y": (1, "2020-01-04", 2)}
+
+
+def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
+    table = BucketedTable(spark, str(tmp_path), ("goals",))
+    rows = lambda *r: spark.createDataFrame([(e, k, n, None, n) for e, k, n in r], "entity string, kind string, n long, latest date, goals long")
+    table.upsert(rows(*[(f"e{i}", "x", 1) for i in range(40)]), 0)
+    before = table.versions()
+    for batch in (1, 2, 2, 3):
+        table.upsert(rows(("e7", "x", 1 + batch), ("e7", f"k{batch}", 1)), batch)
+    after = table.versions()
+    moved = [b for b in before if after[b] != before[b]]
+    assert len(before) > 1 and len(moved) == 1 and after[moved[0]] == [3, 2]
+    got = features(table.read())
+    assert len(got) == 40 and got["e7"] == {"x": (4, "None", 4), "k1": (1, "None", 1), "k2": (1, "None", 1), "k3": (1, "None", 1)}
+    assert features(table.read({moved[0]}, before=3))["e7"]["x"] == (3, "None", 3)
+
+
 def test_feature_table_of_an_empty_stream(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "ev.parquet"))
     assert features(build_feature_table(spark, str(tmp_path), [source()], ("goals",))) == {}
