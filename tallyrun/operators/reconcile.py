@@ -5,7 +5,8 @@ fall into buckets by their key, and each side sends of each bucket only its size
 ``prod (z - element)`` at a few fixed points.  The quotient of the two sides' values is a rational function whose
 numerator vanishes at the elements that only the first side has and whose denominator at those of the second; it is
 interpolated within a degree bound, checked at further points, and the bound is doubled for the buckets that do not
-pass.  Each side then tells its differing elements as the roots among its own, and only those rows are fetched and
+pass; those that ``MOST_BOUND`` does not solve are split by further bits of the hash and start again, so that copies that
+differ everywhere cost no more than in proportion.  Each side then tells its differing elements as the roots among its own, and only those rows are fetched and
 compared field by field.
 
 What crosses the network is in proportion to the buckets (``FIRST_BOUND`` numbers per ``BUCKET_ROWS`` rows) and to the
@@ -32,8 +33,10 @@ from tallyrun.functions.ids import text_or_null
 from tallyrun.operators.current import current_rows
 from tallyrun.session import write_out
 
-#: Rows that a bucket holds on average, evaluations of the first round, and points that only verify.
-BUCKET_ROWS, FIRST_BOUND, EXTRA_POINTS = 128, 16, 2
+#: Rows that a bucket holds on average, evaluations of the first and largest round, and points that only verify.
+BUCKET_ROWS, FIRST_BOUND, MOST_BOUND, EXTRA_POINTS = 128, 16, 64, 2
+#: Parts of a bucket that the largest bound did not solve.
+SPLIT = 8
 #: Elements lie above this, evaluation points below.
 POINTS = 1 << 20
 ONLY_FIRST, ONLY_SECOND = "_only_in_first", "_only_in_second"
@@ -164,24 +167,30 @@ def differing_keys(pairs: Sequence[Pair]) -> DataFrame:
             both = one if both is None else both.unionByName(one)
     digests = write_out(both, "digests")
     buckets = max(1, digests.count() // (2 * BUCKET_ROWS))
-    placed = digests.select("name", "first", "id", "element", F.pmod("_h", F.lit(buckets)).alias("bucket"))
+    bucket = lambda level: F.pmod("_h", F.lit(buckets * SPLIT**level))
+    placed = digests.select("name", "first", "id", "element", "_h", bucket(0).alias("bucket"))
     placed = write_out(placed.repartition("bucket").sortWithinPartitions("bucket", "first"), "buckets")
-    pending, bound, found = None, FIRST_BOUND, []
+    at = lambda level: placed if level == 0 else placed.withColumn("bucket", bucket(level))
+    rows, level, bound, found = placed, 0, FIRST_BOUND, []
     while True:
-        rows = placed if pending is None else placed.join(pending, "bucket", "left_semi")
         partial = rows.select("bucket", "first", "element").mapInPandas(_partial_products(bound), "bucket long, first boolean, n long, products array<long>")
         gathered = partial.groupBy("bucket").agg(F.collect_list(F.struct("n", "first", "products")).alias("s")).select("bucket", F.col("s.n").alias("sizes"), F.col("s.first").alias("sides"), F.col("s.products").alias("products"))
         solved = write_out(gathered.mapInPandas(_solver(bound), "bucket long, solved boolean, numerator array<long>, denominator array<long>"), "solved")
-        found.append(solved.filter("solved"))
+        found.append((level, solved.filter("solved")))
         pending = solved.filter("NOT solved").select("bucket")
         if pending.isEmpty():
             break
-        bound *= 2
-    solutions = found[0]
-    for more in found[1:]:
-        solutions = solutions.unionByName(more)
+        if bound < MOST_BOUND:
+            bound *= 2
+            rows = at(level).join(pending, "bucket", "left_semi")
+        else:  # very different buckets are split, as the work grows with the cube of the bound
+            level, bound = level + 1, FIRST_BOUND
+            rows = at(level).withColumn("_parent", bucket(level - 1)).join(pending.withColumnRenamed("bucket", "_parent"), "_parent", "left_semi")
     poly = F.when(F.col("first"), F.col("numerator")).otherwise(F.col("denominator"))
-    tested = placed.join(solutions, "bucket").select("name", "first", "id", "element", poly.alias("poly")).filter(F.size("poly") > 1)
+    tested = None
+    for level, solutions in found:
+        one = at(level).join(solutions, "bucket").select("name", "first", "id", "element", poly.alias("poly")).filter(F.size("poly") > 1)
+        tested = one if tested is None else tested.unionByName(one)
     return write_out(tested.mapInPandas(_own_roots, "name string, first boolean, id string"), "differing")
 
 

@@ -184,6 +184,13 @@ def test_differences_against_brute_force(spark):
     assert got == want and len(want) > 80
 
 
+def test_copies_that_differ_everywhere_are_split(spark):
+    first = spark.range(3000).select(F.col("id").cast("string").alias("k"), F.lit("a").alias("v"))
+    second = spark.range(1, 3001).select(F.col("id").cast("string").alias("k"), F.lit("b").alias("v"))
+    got = rows(differences([Pair("t", first, second, same_id("k"), "k", ["k", "v"])]).select("record_id", "field_name"))
+    assert got == sorted([("0", "_only_in_first"), ("3000", "_only_in_second"), *[(str(i), "v") for i in range(1, 3000)]])
+
+
 def test_differences_of_empty_and_equal_copies(spark):
     df = spark.createDataFrame([("1", "a"), ("2", ""), ("3", None)], "k string, v string")
     pair = lambda a, b: [Pair("t", a, b, same_id("k"), "k", ("k", "v"))]
