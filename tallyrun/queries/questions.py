@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrun.plans import lookups as L
 from tallyrun.plans.analytics import Analytics
+from tallyrun.plans.evidence import evidence
 from tallyrun.plans.catalog import COLUMNS, DATES, ID_COLUMNS, KEYS, NUMBERS, Catalog
 from tallyrun.queries.data_problems import sql_id
 
@@ -51,6 +52,14 @@ def level_3(family: str, spark: SparkSession, folder: str) -> DataFrame:
     return getattr(_shared_analytics(spark, folder, family == "game_answers"), family)().select("question_id", "seed_id", "answer")
 
 
+def level_3_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows behind the answers about transfers: one row per reference, in reading order."""
+    a = _shared_analytics(spark, folder, False)
+    found = [evidence(a, f).select(F.lit(f).alias("family"), "seed_id", F.posexplode("refs").alias("n", "r")) for f in ("destinations", "pairs", "current_club", "one_transfer")]
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.select("family", "seed_id", (F.col("n") + 1).alias("ref_no"), F.col("r.table").alias("ref_table"), F.col("r.id_value").alias("id_value"))
+
+
 # -- SQL --------------------------------------------------------------------------------------------------------------
 
 
@@ -228,11 +237,25 @@ def level_3_sql() -> dict[str, str]:
     agg = ", ".join(f"count(*) filter (where {t}) as n{q}" for q, t in tests.items())
     cells = [(q, f"cast(n{q} as varchar)" if q in (26, 27, 28) else _if("ok", f"cast(n{q} as varchar)")) for q in tests] + [(31, _if("ok", "m31"))]
     out["l3_games"] = f"{base('players', 'clubs', 'countries', 'competitions', 'game_events')}{game}, n as (select game_id, bool_and(not known or (country is not null and continent is not null)) as ok, {agg} from e group by 1), {_mode('e', 'game_id', 'case when known then country end', order, 'm31')}, u as (select * from n join m31 using (game_id)) {_union('u', 'game_id as seed_id', cells)}"
+    out["l3_evidence"] = _evidence_sql(head)
     return out
 
 
+def _evidence_sql(head: str) -> str:
+    moved = "concat_ws('|', player_id, strftime(transfer_date, '%Y-%m-%d'), coalesce(from_club_id, ''), coalesce(to_club_id, ''))"
+    to, of = [("clubs", "to_club_id", "t_known"), ("countries", "t_country", "t_country is not null")], [("clubs", "from_club_id", "f_known"), ("clubs", "to_club_id", "t_known"), ("countries", "f_country", "f_country is not null"), ("countries", "t_country", "t_country is not null")]
+    parts = []
+    for family, source, refs in (("destinations", "x", to), ("pairs", "x", of), ("current_club", "cu", to), ("one_transfer", "y", of)):
+        for k, (table, value, ok) in enumerate([("transfers", moved, "true"), *refs]):
+            own = "pos" if table == "transfers" else "0"
+            parts.append(f"select '{family}' as family, player_id as seed_id, '{table}' as ref_table, {value} as id_value, {own} as own, pos * 10 + {k} as o from {source} where {ok}")
+    chosen = ", y as (select * from x qualify row_number() over (partition by player_id order by not (t_known and f_known), pos) = 1)"
+    now = f", cu as (select * from x where transfer_date <= date '{TARGET_DAY}' and t_known qualify row_number() over (partition by player_id order by pos desc) = 1)"
+    return f"{head}{chosen}{now}, r as ({' union all '.join(parts)}), d as (select family, seed_id, ref_table, id_value, own, min(o) as o from r group by all) select family, seed_id, row_number() over (partition by family, seed_id order by o) as ref_no, ref_table, id_value from d"
+
+
 FAMILIES = {"l3_destinations": "destination_answers", "l3_pairs": "pair_answers", "l3_current_club": "current_club_answers", "l3_transfer_compare": "transfer_answers", "l3_ages": "age_answers", "l3_appearances": "appearance_answers", "l3_overlaps": "overlap_answers", "l3_games": "game_answers"}
 QUERIES = {f"l1_{t}": partial(level_1, t) for t in ("players", "countries", "clubs")}
 QUERIES |= {f"l2_{n}": partial(level_2, t) for n, t in (("players", "players"), ("clubs", "clubs"), ("appearances", "appearances"), ("games", "games"), ("events", "game_events"))}
-QUERIES |= {n: partial(level_3, f) for n, f in FAMILIES.items()}
+QUERIES |= {n: partial(level_3, f) for n, f in FAMILIES.items()} | {"l3_evidence": level_3_evidence}
 SQL = {f"l1_{t}": level_1_sql(t) for t in ("players", "countries", "clubs")} | level_2_sql() | level_3_sql()
