@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from tallyrun.session import build_session
 
 
+def _positive(text: str) -> int:
+    n = int(text)
+    if n < 1:
+        raise argparse.ArgumentTypeError(f"{text} is not positive")
+    return n
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tallyrun", description=__doc__)
     s = p.add_subparsers(dest="stage", required=True)
@@ -28,6 +35,10 @@ def _parser() -> argparse.ArgumentParser:
     stage("templates", input=needed, output=needed, existing={})
     stage("questions", input=needed, output=needed, level={"type": int, "choices": (1, 2, 3), "required": True}, target_date={"default": None}, templates={}, seeds={})
     stage("compare", first=needed, second=needed, output=needed)
+    answering = {"questions": needed, "ids": {"default": None, "help": "comma-separated"}, "most": {"type": _positive, "default": None}, "endpoint": {"help": "address of a chat service; without it a stand-in"}, "model": {"default": "none"}, "aliases": {"help": "JSON file of model names"}, "overwrite": {"action": "store_true"}}
+    stage("run", input=needed, output=needed, rows={"type": _positive, "default": 20}, policy={"choices": ("first", "random"), "default": "random"}, seed={"default": "42"}, **answering)
+    stage("evaluate", results=needed, output=needed, **answering)
+    stage("export", questions=needed, input=needed, counter_questions={}, counter_input={}, output=needed, levels={"default": "level_1,level_2,level_3"}, template={"help": "file name with {level}, {level_slug}, {variant}: one file each"})
     return p
 
 
@@ -70,13 +81,16 @@ def main(argv: list[str] | None = None) -> int:
         from tallyrun.plans import templates as t
         from tallyrun.plans.analytics import SEED_FIELDS, Analytics, seeds_frame
         from tallyrun.plans.catalog import KEYS, Catalog
+        from tallyrun.plans.evidence import records
         from tallyrun.plans.lookups import LEVEL_1, LEVEL_2, level_1_answers
         from tallyrun.plans.seeds import default_event_seed, default_transfer_seed
 
         c = Catalog.of(files.read_tables(spark, a.input))
-        texts = None
+        texts, listed = None, {}
         if a.templates:
-            texts = {r["question_id"]: r["question"] for r in spark.read.schema(t.TEMPLATE_SCHEMA).options(header=True, escape='"').csv(a.templates).toLocalIterator()}
+            rows = spark.read.schema(t.TEMPLATE_SCHEMA).options(header=True, escape='"').csv(a.templates).collect()
+            texts = {r["question_id"]: r["question"] for r in rows}
+            listed = {r["question_id"]: [n.strip() for n in (r["attributes"] or "").split(";") if n.strip()] for r in rows}
         seeds = t.parse_seeds(t.read_text(a.seeds)) if a.seeds and a.seeds != "default" else None
         if a.level == 3:
             if seeds:
@@ -86,7 +100,8 @@ def main(argv: list[str] | None = None) -> int:
                 subjects = default_transfer_seed(c).unionByName(default_event_seed(c).withColumn("seed_id", F.lit("default event")))
             else:
                 subjects = c.transfers.select(F.col("player_id").alias("seed_id"), "player_id", F.lit(a.target_date).alias("target_date")).distinct()
-            out = Analytics(c, subjects, texts).all_answers()
+            analytics = Analytics(c, subjects, texts)
+            out = analytics.all_answers() if texts is None else records(analytics, listed)
         else:
             wanted = t.seed_ids(seeds, KEYS) if seeds is not None else None
             make = {n: (lambda n=n: level_1_answers(c, n, texts)) for n in LEVEL_1} if a.level == 1 else {n: (lambda f=f: f(c, texts)) for n, f in LEVEL_2.items()}
@@ -101,8 +116,30 @@ def main(argv: list[str] | None = None) -> int:
             for more in parts[1:]:
                 out = out.unionByName(more, allowMissingColumns=True)
         if texts is not None:
-            out = out.filter("question IS NOT NULL").withColumn("level", F.lit(f"level_{a.level}"))
+            subject = "seed_id" if a.level == 3 else "id_value"
+            out = out.filter("question IS NOT NULL").withColumns({"level": F.lit(f"level_{a.level}"), "template_question_id": F.col("question_id"), "question_id": F.concat_ws("-", "question_id", subject)})
         counts = {a.output: sinks.save_json_array(out, a.output)}
+    elif a.stage in ("run", "evaluate"):
+        import json
+
+        from tallyrun.plans import stages
+        from tallyrun.plans.experiment import EchoGenerator, ExactGrader
+
+        model = stages.resolved_model(a.model, json.loads(Path(a.aliases).read_text()) if a.aliases else None)
+        questions = stages.select_questions(stages.read_questions(spark, a.questions), a.ids.split(",") if a.ids else None, a.most)
+        service = (lambda: stages.ChatEndpoint(a.endpoint, model)) if a.endpoint else None
+        if a.stage == "run":
+            n = stages.run_generation(questions, stages.read_data(spark, a.input), a.output, service or EchoGenerator, model, a.rows, a.policy, a.seed, a.overwrite)
+        else:
+            n = stages.run_evaluation(questions, a.results, a.output, service or ExactGrader, model, a.overwrite)
+        counts = {a.output: n}
+    elif a.stage == "export":
+        from tallyrun.plans.stages import export_markdown
+
+        variants = {"original": (a.questions, a.input)}
+        if a.counter_questions and a.counter_input:
+            variants["counterfactual"] = (a.counter_questions, a.counter_input)
+        counts = dict.fromkeys(export_markdown(spark, variants, a.levels.split(","), a.output, a.template), 1)
     else:
         from tallyrun.plans.compare import DOC_SCHEMA, match_sets, report, summarise
 

@@ -355,6 +355,10 @@ class Analytics:
         return self._answers(totals, [*cells, _cell(31, shown(F.col("m31")), F.col("placed"))], **({"game_events__game_id": F.col("game_id"), "game_events__type": F.col("first_type"), "countries__country_name": F.col("w_country"), "countries__capital_city": F.col("w_capital")} if self.texts else {}))
 
     def all_answers(self) -> DataFrame:
-        """Every family's answers: ``seed_id, question_id, answer, error``."""
-        families = (self.destination_answers, self.pair_answers, self.game_answers, self.current_club_answers, self.transfer_answers, self.age_answers, self.appearance_answers, self.overlap_answers)
-        return reduce(DataFrame.unionByName, [f() for f in families])
+        """Every family's answers: ``seed_id, question_id, answer, error``; with texts only families that have some."""
+        families = {
+            self.destination_answers: (*range(6), *range(10, 18), *range(21, 25)), self.pair_answers: (*range(6, 10), *range(18, 21)), self.game_answers: range(25, 34),
+            self.current_club_answers: (*range(34, 54), *range(56, 64)), self.transfer_answers: range(64, 68), self.age_answers: (68, 69), self.appearance_answers: range(70, 76), self.overlap_answers: range(76, 85),
+        }
+        wanted = [f for f, ids in families.items() if self.texts is None or not set(ids).isdisjoint(self.texts)]
+        return reduce(DataFrame.unionByName, [f() for f in wanted or families])

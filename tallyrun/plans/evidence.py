@@ -104,7 +104,8 @@ def records(a: Analytics, attributes: Mapping[int, Sequence[str]], answers: Data
     """
     answers = a.all_answers() if answers is None else answers
     family = reduce(lambda rest, e: F.when(F.col("question_id").isin(*e[1]), e[0]).otherwise(rest), FAMILIES.items(), F.lit(None).cast("string"))
-    found = reduce(DataFrame.unionByName, [evidence(a, f).withColumn("family", F.lit(f)) for f in FAMILIES])
+    used = [f for f, ids in FAMILIES.items() if a.texts is None or not set(ids).isdisjoint(a.texts)] or list(FAMILIES)
+    found = reduce(DataFrame.unionByName, [evidence(a, f).withColumn("family", F.lit(f)) for f in used])
     names = [x for q, n in attributes.items() for x in (F.lit(q), F.array(*map(F.lit, n)).cast("array<string>"))]
     listed = F.coalesce(F.try_element_at(F.create_map(*names), F.col("question_id")), F.array().cast("array<string>")) if names else F.array().cast("array<string>")
     out = answers.withColumns({"family": family, "attributes": listed}).join(found, ["seed_id", "family"], "left")

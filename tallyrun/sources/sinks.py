@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import shutil
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyrun.functions.scalars import file_slug
+
 
 def prepare_folder(folder: str, source: str | None = None) -> Path:
     """Empty an output folder, but never the input, the working folder, a parent of either, or a root."""
@@ -74,6 +76,34 @@ def save_json_array(df: DataFrame, path: str) -> int:
     return n
 
 
+def document_name(c: Column) -> Column:
+    """File name of a question's document, without its ending."""
+    return F.coalesce(F.nullif(file_slug(c), F.lit("")), F.lit("question"))
+
+
+def save_documents(df: DataFrame, folder: str, key: str) -> int:
+    """One pretty JSON file per row, named by its key; rows arrive one partition at a time."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    n = 0
+    for n, row in enumerate(rows_as_json(df.withColumn("_file", document_name(F.col(key)))), 1):  # noqa: B007
+        name = row.pop("_file")
+        (Path(folder) / f"{name}.json").write_text(json.dumps(row, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+    return n
+
+
+def save_lines(path: str, parts: Iterable[str]) -> None:
+    """Text written as it arrives; it ends with one line break."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        held = ""
+        for part in parts:
+            text = held + part
+            kept = text.rstrip()
+            f.write(kept)
+            held = text[len(kept) :]
+        f.write("\n")
+
+
 def save_text(path: str, text: str) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(text, encoding="utf-8")

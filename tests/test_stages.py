@@ -175,3 +175,74 @@ def test_files(spark, tmp_path):
     assert [(r["question"], r["answer"], r["level"], r["ground_truth"]["answer_source"]["attribute"]) for r in record] == [("Where was Ann born?", "Alphaland", "level_1", "country_of_birth")]
     assert main(["perturb", "--input", str(tmp_path / "tables"), "--output", str(tmp_path / "changed")]) == 0
     assert main(["sample", "--input", str(tmp_path / "tables"), "--output", str(tmp_path / "sample"), "--player", "ann"]) == 0
+
+
+def test_questions_to_prompts_grades_and_markdown(spark, tmp_path):
+    from tallyrun.cli import main
+    from tallyrun.plans import stages
+
+    data, root = str(tmp_path / "tables"), tmp_path / "questions"
+    sinks.save_tables({n: frame(spark, n) for n in COLUMNS}, data)
+    templates = tmp_path / "level_3.csv"
+    lines = ['6,"How often did {transfers.player_name} stay in a country?",2,"transfers; clubs","transfers.to_club_id; clubs.name"', '76,"Who was with {transfers.player_name}?",1,"transfers","transfers.transfer_date"']
+    templates.write_text("\n".join(["question_id,question,num_tables,tables,attributes", *lines, ""]))
+    questions = str(root / "level_3.json")
+    assert main(["questions", "--input", data, "--output", questions, "--level", "3", "--templates", str(templates)]) == 0
+    found = {r["question_id"]: r for r in json.loads((root / "level_3.json").read_text())}
+    assert set(found) == {"6-1", "6-2", "76-1", "76-2"}
+    ann = found["6-1"]
+    assert ann["question"] == "How often did Ann stay in a country?" and ann["answer"] == "0"
+    assert ann["ground_truth"]["rows"][0] == {"table": "transfers", "id_attribute": "player_id+transfer_date+from_club_id+to_club_id", "id_value": "1|2023-01-10|20|10"}
+    assert len(ann["ground_truth"]["rows"]) == 4 + 4 + 3 and ann["ground_truth"]["answer_source"]["operation"] == "count_same"
+    assert ann["explanation"].startswith("transfers[player_id+transfer_date+from_club_id+to_club_id=1|2023-01-10|20|10] has to_club_id=10. clubs[club_id=20] has name=B-One. ")
+    assert {r["id_value"][:1] for r in found["76-1"]["ground_truth"]["rows"]} == {"1", "2"}
+
+    q, tables = stages.read_questions(spark, questions), stages.read_data(spark, data)
+    some = {n: tables[n] for n in ("clubs", "transfers")}
+    for policy in ("first", "random"):
+        rows = stages.sampled_rows(q, some, 6, policy)["clubs"].collect()
+        assert len([r for r in rows if r["question_id"] == "6-1"]) == 4 == len([r for r in rows if r["question_id"] == "6-1" and r["is_truth"]])  # truth beyond the budget of 2
+    more = stages.sampled_rows(q, some, 60)["transfers"].filter("question_id = '6-1'").collect()
+    assert len(more) == 7 == len({r["row_index"] for r in more}) and sum(r["is_truth"] for r in more) == 4
+
+    results, grades = str(tmp_path / "results"), str(tmp_path / "grades")
+    assert main(["run", "--questions", questions, "--input", data, "--output", results, "--rows", "6", "--model", "none"]) == 0
+    doc = json.loads((tmp_path / "results" / "6-1.json").read_text())
+    assert "Table: transfers" in doc["prompt"] and doc["sampling"]["tables"][0]["csv"] and doc["reference_full_answer"].startswith("Answer: 0. Explanation: ")
+    assert stages.run_generation(q, tables, results, EchoGenerator, "none") == 0
+    assert main(["evaluate", "--questions", questions, "--results", results, "--output", grades]) == 0
+    assert json.loads((tmp_path / "grades" / "6-1.json").read_text())["correct"] == "false" and stages.without_documents(q, grades).count() == 0
+
+    assert main(["export", "--questions", str(root), "--input", data, "--output", str(tmp_path / "all.md"), "--levels", "level_3"]) == 0
+    text = (tmp_path / "all.md").read_text()
+    assert text.count("#### Question 6-1 / Template 6") == 1 and "- Source CSV row numbers: 2, 3, 4, 5" in text and "## Original" in text
+    written = stages.export_markdown(spark, {"original": (str(root), data)}, ["level_3"], str(tmp_path), "{variant}_{level_slug}.md")
+    assert (tmp_path / "original_level3.md").read_text().startswith("# Level 3 Answer Rows - Original") and written == [str(tmp_path / "original_level3.md")]
+    assert stages.resolved_model("My  Model", {"my-model": "org/My-Model-1"}) == "org/My-Model-1" and stages.resolved_model("a b") == "a-b"
+
+
+def test_chat_endpoint():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from tallyrun.plans.stages import ChatEndpoint
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["messages"][0]["content"]
+            said = 'so: {"correct": true, "accuracy": 1}' if "Reference: yes" in asked else "no idea" if asked.startswith("Judge") else f"Answer: {asked}"
+            body = json.dumps({"choices": [{"message": {"content": said}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    chat = ChatEndpoint(f"http://127.0.0.1:{server.server_port}/", "m")
+    row = {"question": "q", "gold_full_answer": "yes", "reference_answer": "no", "reference_explanation_is_null": False, "model_response": "r"}
+    assert chat.complete(["a", "b"]) == ["Answer: a", "Answer: b"]
+    assert [g["correct"] for g in chat.grade([row, row | {"reference_explanation_is_null": True}])] == [True, None]
+    server.shutdown()
