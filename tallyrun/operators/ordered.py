@@ -103,12 +103,16 @@ def overlap_counts(intervals: DataFrame, key: str, start: str = "start", stop: s
 
 
 def null_tolerant_semi(df: DataFrame, parents: DataFrame, parent_key: str, columns: Sequence[str]) -> DataFrame:
-    """Rows whose every given reference is NULL or exists; a chain of joins on the parents' distinct keys."""
-    keys = parents.select(F.col(parent_key).alias("_p")).filter("_p IS NOT NULL").distinct()
+    """Rows whose every given reference is NULL or exists; a chain of joins on the parents' distinct keys.
+
+    NULL references are spread over keys that no parent has, so that they do not meet in one task.
+    """
+    keys = parents.select(F.col(parent_key).cast("string").alias("_p")).filter("_p IS NOT NULL").distinct()
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("string"))
     out = df
     for i, c in enumerate(columns):
         hit = keys.select(F.col("_p").alias(f"_p{i}"))
-        out = out.join(hit, F.col(c) == F.col(f"_p{i}"), "left").filter(F.col(c).isNull() | F.col(f"_p{i}").isNotNull()).drop(f"_p{i}")
+        out = out.join(hit, F.coalesce(F.col(c).cast("string"), spread) == F.col(f"_p{i}"), "left").filter(F.col(c).isNull() | F.col(f"_p{i}").isNotNull()).drop(f"_p{i}")
     return out
 
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tallyrun.functions.ids import same_id
 from tallyrun.functions.scalars import age_on, clamped_date, month_shifted, yes_no
-from tallyrun.operators.clean import clean_appearances, clean_clubs, clean_game_events, clean_games, clean_players, clean_transfers, date_range, missing_counts
+from tallyrun.operators.clean import clean_appearances, clean_clubs, clean_game_events, clean_games, clean_players, clean_transfers, country_key, date_range, missing_counts
 from tallyrun.operators.ordered import argmax_with_ties, as_of, mode_with_ties, null_tolerant_semi, ordered_list, overlap_counts
 from tallyrun.operators.perturb import derangement, other_foot, other_height, shifted_birth, swap
 from tallyrun.operators.sampling import budgeted_rows, table_block, values_of, within
 from tallyrun.plans.catalog import COLUMNS, Catalog, keep_first
 from tallyrun.plans.compare import match_sets, summarise
-from tallyrun.plans.provenance import row_ref
+from tallyrun.plans.provenance import row_ref, truth_rows
 from tallyrun.plans.templates import filled
 from tallyrun.queries.data_problems import sql_id
 from tallyrun.queries.questions import base
@@ -123,9 +123,9 @@ def left_before_arrived(spark: SparkSession, d: str) -> DataFrame:
 @query("select l.l_orderkey, l.l_linenumber, l.l_partkey, count(*) as hits from lineitem l join (select distinct l_orderkey, l_linenumber from lineitem where l_returnflag = 'R') r using (l_orderkey, l_linenumber) group by all")
 def truth_lookup_composite(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    refs = rows.filter("l_returnflag = 'R'").select(row_ref("lineitem", "l_orderkey", "l_linenumber").alias("ref")).distinct()
-    parts = refs.select(F.split("ref.id_value", r"\|").alias("p")).select(F.col("p")[0].cast("long").alias("l_orderkey"), F.col("p")[1].cast("int").alias("l_linenumber"))
-    return rows.join(parts, ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.count("*").alias("hits"))
+    refs = rows.filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("question_id")).agg(F.collect_list(row_ref("lineitem", "l_orderkey", "l_linenumber")).alias("refs"))
+    found = truth_rows(refs, rows.withColumn("row_index", F.monotonically_increasing_id()), "lineitem", ["l_orderkey", "l_linenumber"])
+    return found.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.count("*").alias("hits"))
 
 
 # -- aggregates --------------------------------------------------------------------------------------------------------
@@ -209,7 +209,7 @@ def json_field(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select player_id, nullif(trim(regexp_replace(lower(player_code), '[^a-z0-9]+', ' ', 'g')), '') as k, count(*) as n from players group by all")
 def key_fold(spark: SparkSession, d: str) -> DataFrame:
-    k = F.nullif(F.trim(F.regexp_replace(F.lower("player_code"), "[^a-z0-9]+", " ")), F.lit(""))
+    k = F.nullif(country_key(F.col("player_code")), F.lit(""))
     return table(spark, d, "players", "player_id", "player_code").groupBy("player_id", k.alias("k")).agg(F.count("*").alias("n"))
 
 

@@ -52,6 +52,17 @@ def level_3(family: str, spark: SparkSession, folder: str) -> DataFrame:
     return getattr(_shared_analytics(spark, folder, family == "game_answers"), family)().select("question_id", "seed_id", "answer")
 
 
+def level_3_compared(spark: SparkSession, folder: str) -> DataFrame:
+    """The club of a day compared with values that the seeds give: the first country by name and the smallest stadium."""
+    c = Catalog.from_parquet(spark, folder)
+    country = c.country_by_name().agg(F.min_by(F.struct("country_name", "capital_city", "confederation"), "country_name")).scalar()
+    club = c.clubs.filter("stadium_seats IS NOT NULL").agg(F.min(F.struct("stadium_seats", F.coalesce("stadium_name", F.lit("")).alias("stadium_name")))).scalar()
+    given = {"country_name": country["country_name"], "capital_city": country["capital_city"], "confederation": country["confederation"], "stadium_seats": club["stadium_seats"].cast("string"), "stadium_name": club["stadium_name"]}
+    seeds = c.transfers.select("player_id").distinct().select(F.col("player_id").alias("seed_id"), "player_id", F.lit(TARGET_DAY).alias("target_date"), *[v.alias(n) for n, v in given.items()])
+    answers = Analytics(c, seeds).current_club_answers()
+    return answers.filter(F.col("question_id").isin(37, 38, 39, 40, 41, 46, 47, 48)).select("question_id", "seed_id", "answer")
+
+
 def level_3_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """The rows behind the answers about transfers: one row per reference, in reading order."""
     a = _shared_analytics(spark, folder, False)
@@ -238,6 +249,11 @@ def level_3_sql() -> dict[str, str]:
     cells = [(q, f"cast(n{q} as varchar)" if q in (26, 27, 28) else _if("ok", f"cast(n{q} as varchar)")) for q in tests] + [(31, _if("ok", "m31"))]
     out["l3_games"] = f"{base('players', 'clubs', 'countries', 'competitions', 'game_events')}{game}, n as (select game_id, bool_and(not known or (country is not null and continent is not null)) as ok, {agg} from e group by 1), {_mode('e', 'game_id', 'case when known then country end', order, 'm31')}, u as (select * from n join m31 using (game_id)) {_union('u', 'game_id as seed_id', cells)}"
     out["l3_evidence"] = _evidence_sql(head)
+    given = ", gc as (select country_name as g_country, capital_city as g_capital, confederation as g_conf from cn order by country_name limit 1), gs as (select stadium_seats as g_seats, coalesce(stadium_name, '') as g_stadium from cl where stadium_seats is not null order by 1, 2 limit 1)"
+    now = f", a as (select x.*, gc.*, gs.* from x, gc, gs where transfer_date <= date '{TARGET_DAY}' and t_known qualify row_number() over (partition by player_id order by pos desc) = 1)"
+    seats = "coalesce(t_seats, 0)"
+    tests = [(37, eq("t_country", "g_country")), (38, f"{seats} > g_seats"), (39, f"{seats} < g_seats"), (40, f"{seats} = g_seats"), (41, eq("t_stadium", "g_stadium")), (46, eq("t_confederation", "coalesce(g_conf, t_confederation)")), *[(q, eq("t_capital_city", "coalesce(g_capital, t_capital_city)")) for q in (47, 48)]]
+    out["l3_compared"] = f"{head}{given}{now} {_l3([(q, _if(place, _yes(t))) for q, t in tests], 'a', 'true')}"
     return out
 
 
@@ -257,5 +273,5 @@ def _evidence_sql(head: str) -> str:
 FAMILIES = {"l3_destinations": "destination_answers", "l3_pairs": "pair_answers", "l3_current_club": "current_club_answers", "l3_transfer_compare": "transfer_answers", "l3_ages": "age_answers", "l3_appearances": "appearance_answers", "l3_overlaps": "overlap_answers", "l3_games": "game_answers"}
 QUERIES = {f"l1_{t}": partial(level_1, t) for t in ("players", "countries", "clubs")}
 QUERIES |= {f"l2_{n}": partial(level_2, t) for n, t in (("players", "players"), ("clubs", "clubs"), ("appearances", "appearances"), ("games", "games"), ("events", "game_events"))}
-QUERIES |= {n: partial(level_3, f) for n, f in FAMILIES.items()} | {"l3_evidence": level_3_evidence}
+QUERIES |= {n: partial(level_3, f) for n, f in FAMILIES.items()} | {"l3_evidence": level_3_evidence, "l3_compared": level_3_compared}
 SQL = {f"l1_{t}": level_1_sql(t) for t in ("players", "countries", "clubs")} | level_2_sql() | level_3_sql()
