@@ -49,7 +49,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrun.llm.abuse_terms import report_words, seeds
+from tallyrun.llm.abuse_terms import explicit_words, report_words, seeds
 from tallyrun.llm.spread import spread
 from tallyrun.llm.text import plain
 from tallyrun.session import write_out
@@ -76,6 +76,7 @@ SOURCES, LANGUAGES, LENGTHS = 64, ("en", "de", "es", "fr"), 8
 #: passages that are company for others must be rarer.
 EXPECTED, COMPANION, NEIGHBOURHOOD = 0.02, 0.01, 300
 LATTICE = 0.5
+EXPLICIT = explicit_words()
 #: Shares of abusive uses at which likelihoods are taken.
 GRID = np.array([0, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 1.0])
 
@@ -172,7 +173,7 @@ def sentence(tokens: Sequence[str], i: int) -> tuple[int, int]:
 def reported(tokens: Sequence[str], i: int, reports: set[str]) -> bool:
     """Whether the speaker speaks of oneself, or a report word stands in the sentence and nobody is addressed just before."""
     a, b = sentence(tokens, i)
-    if any((tokens[k], tokens[k + 1]) in ONESELF for k in range(max(a, i - 4), i - 1)):
+    if tokens[i] not in EXPLICIT and any((tokens[k], tokens[k + 1]) in ONESELF for k in range(max(a, i - 4), i - 1)):
         return True
     return not reports.isdisjoint(tokens[a : b + 1]) and ADDRESSED.isdisjoint(tokens[max(a, i - 3) : i])
 

@@ -7,11 +7,13 @@ accents.  ``SURE`` words stand for abuse nearly whenever they are used, ``LIKELY
 
 from __future__ import annotations
 
+#: Sexual words, which speaking of oneself does not soften.
+EXPLICIT = "porn xxx milf milfs blowjob handjob cumshot gangbang dildo horny wank wanks wanking masturbate masturbates masturbating tits pussy nudes"
 SURE = {
     "en": "wanker wankers cunt cunts dickhead dickheads arsehole arseholes asshole assholes bastard bastards bitch bitches whore whores slut sluts "
     "twat twats tosser tossers scumbag scumbags moron morons imbecile imbeciles cretin cretins retard retards dumbass braindead lowlife lowlifes "
     "subhuman subhumans motherfucker shithead bellend faggot faggots nigger kike spastic poof poofs queers tranny mong mongs "
-    "porn xxx milf milfs blowjob handjob cumshot gangbang dildo horny wank wanks wanking masturbate masturbates masturbating tits pussy nudes",
+    + EXPLICIT,
     "de": "hurensohn wichser arschloch fotze schlampe missgeburt drecksau schwuchtel kanake kanaken ungeziefer untermensch untermenschen ficken fick titten nutte abschaum",
     "es": "gilipollas cabron cabrones maricon maricones subnormal follar follada tetas puta putas polla",
     "fr": "connard connards connasse salope salopes encule encules pute putes bougnoule bite nique",
@@ -54,5 +56,9 @@ def seeds() -> dict[tuple[str, ...], float]:
     return out
 
 
+def explicit_words() -> set[str]:
+    return set(EXPLICIT.split())
+
+
 def report_words() -> set[str]:
     return set(REPORTS.split())
